@@ -26,19 +26,19 @@ class Usage(NamedTuple):
 
 
 def usage(table: DataFrame, count: str, by: str) -> dict[str, Usage]:
-    """Measure a stored lookup table, per value of `by`, with two small jobs over its count column.
+    """Measure a stored lookup table, per value of `by`, in one job over its count column.
 
     Hot is an entry used by more than 1/slots of all rows. The counts add up to the rows, so fewer than `slots`
     entries are hot, whatever the size of the data.
     """
     slots = hot_slots(table)
-    totals = table.groupBy(by).agg(F.sum(count).alias("total"), F.count(F.lit(1)).alias("entries")).collect()
-    limits = {r[by]: r["total"] / slots for r in totals}
-    limit = F.lit(None).cast("double")
-    for name, value in limits.items():
-        limit = F.when(F.col(by) == name, value).otherwise(limit)
-    hot = {r[by]: r["hot"] for r in table.groupBy(by).agg(F.count_if(F.col(count) > limit).alias("hot")).collect()}
-    return {r[by]: Usage(limits[r[by]], hot[r[by]], r["entries"]) for r in totals}
+    totals = table.groupBy(by).agg((F.sum(count) / slots).alias("limit"))
+    # One row per value of `by`, a role.
+    measured = table.join(F.broadcast(totals), by).groupBy(by).agg(
+        F.first("limit").alias("limit"), F.count_if(F.col(count) > F.col("limit")).alias("hot"),
+        F.count(F.lit(1)).alias("entries"),
+    )
+    return {r[by]: Usage(r["limit"], r["hot"], r["entries"]) for r in measured.collect()}
 
 
 def lookup(

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -40,13 +41,23 @@ def dense_ids(df: DataFrame, group: Sequence[str], order: Sequence[Column], id_c
     )
 
 
+ROWS_PER_WINDOW = 1_000_000  # rows one window task is meant to sort
+MAX_BUCKETS = 4096
+
+
 def _with_bucket(points: DataFrame, score: str, buckets: int) -> DataFrame:
-    """Number scores by approximate quantiles of all points; equal scores share a bucket."""
+    """Number scores by approximate quantiles of all points; equal scores share a bucket.
+
+    The edges only balance the work. They are at most `buckets` numbers, and any edges give the same sums.
+    """
+    if buckets == 1:
+        return points.withColumn("_bucket", F.lit(0.0))
     shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    bounds = points.agg(F.percentile_approx(score, shares, max(1000, 8 * buckets))).scalar()
-    edges_known = points.withColumn("_edges", bounds)
-    bucket = F.size(F.filter("_edges", lambda edge: edge < F.col(score)))
-    return edges_known.select(*points.columns, bucket.alias("_bucket"))
+    edges = points.agg(F.percentile_approx(score, shares, 8 * buckets)).first()[0] or []
+    splits = [float("-inf"), *sorted({float(e) for e in edges}), float("inf")]
+    if len(splits) < 3:
+        return points.withColumn("_bucket", F.lit(0.0))
+    return Bucketizer(splits=splits, inputCol=score, outputCol="_bucket", handleInvalid="keep").transform(points)
 
 
 def running_sums(
@@ -55,26 +66,30 @@ def running_sums(
     score: str,
     values: Sequence[str],
     descending: bool = True,
-    buckets: int | None = None,
+    rows_per_window: int = ROWS_PER_WINDOW,
 ) -> DataFrame:
     """Add `cum_<value>` per group in score order. `points` holds each (group, score) once.
 
-    Quantile buckets over all groups bound the rows of one window by a share of the whole table.
+    The points are stored first: they are read several times, and their number decides how many buckets are needed so
+    that no window sorts much more than `rows_per_window` rows.
     """
-    buckets = buckets or max(2, min(shuffle_partitions(points.sparkSession), 1024))
     group = list(group)
+    points = materialize(points, "points")
+    buckets = min(max(-(-points.count() // rows_per_window), 1), MAX_BUCKETS)
     bucketed = _with_bucket(points, score, buckets)
+    score_order = F.desc(score) if descending else F.asc(score)
+    inside = W.partitionBy(*group, "_bucket").orderBy(score_order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    local = bucketed.select("*", *[F.sum(v).over(inside).alias(f"cum_{v}") for v in values])
+    if buckets == 1:
+        return local.drop("_bucket")
     totals = bucketed.groupBy(*group, "_bucket").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
     bucket_order = F.desc("_bucket") if descending else F.asc("_bucket")
     earlier = W.partitionBy(*group).orderBy(bucket_order).rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(
         *group, "_bucket", *[F.coalesce(F.sum(f"_t_{v}").over(earlier), F.lit(0)).alias(f"_o_{v}") for v in values]
     )
-    score_order = F.desc(score) if descending else F.asc(score)
-    inside = W.partitionBy(*group, "_bucket").orderBy(score_order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    local = bucketed.select("*", *[F.sum(v).over(inside).alias(f"_l_{v}") for v in values])
-    # At most `buckets` rows per group, and a group is a split or a (split, class) pair.
+    # At most `buckets` rows per group, and a group is an evaluation or one of its classes.
     joined = local.join(F.broadcast(offsets), [*group, "_bucket"])
     return joined.select(
-        *points.columns, *[(F.col(f"_l_{v}") + F.col(f"_o_{v}")).alias(f"cum_{v}") for v in values]
+        *points.columns, *[(F.col(f"cum_{v}") + F.col(f"_o_{v}")).alias(f"cum_{v}") for v in values]
     )

@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 UTC_ZONES = {"UTC", "Etc/UTC", "Z", "GMT", "+00:00"}
 
 
-def local_session(app: str = "relvec", cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSession:
+def local_session(app: str = "relvec", cores: int | str = 8, shuffle_partitions: int = 8, **settings: str) -> SparkSession:
     """Session for tests and benchmarks. A cluster brings its own settings."""
-    spark = (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -21,8 +21,10 @@ def local_session(app: str = "relvec", cores: int | str = 8, shuffle_partitions:
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    for name, value in settings.items():
+        builder = builder.config(name, value)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
@@ -38,14 +40,13 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only a local master, where driver and executors share a disk, may fall back to a temporary folder.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    created = tempfile.mkdtemp(prefix="relvec-")
-    spark.conf.set("spark.checkpoint.dir", created)
-    return created
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="relvec-"))
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
