@@ -103,6 +103,11 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions as a written table, which is what an evaluation of several passes starts from."""
+    return materialize(predictions(spark, sf_dir), "predictions")
+
+
 RUNS = 24
 
 
@@ -128,7 +133,7 @@ def run_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tall metrics of every finished run, from the predictions of its user group."""
     run = run_index(F.col("user_id"))
-    preds = predictions(spark, sf_dir).withColumn("run_no", run).where(F.col("run_no") != 5)
+    preds = stored_predictions(spark, sf_dir).withColumn("run_no", run).where(F.col("run_no") != 5)
     name = F.concat(F.lit("run_"), F.lpad(F.col("run_no").cast("string"), 2, "0"))
     return evaluate_split(preds.withColumn("run_dir", name), len(LABEL_ORDER), by=["run_dir", "split"])
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from relvec.operators.metrics import scored
 from relvec.operators.ordered import running_sums
+from relvec.session import materialize
 
 
 def quantile_edges(points: DataFrame, by: Sequence[str], bins: int) -> DataFrame:
@@ -52,9 +53,9 @@ def calibration_bins(df: DataFrame, bins: int = 10, by: Sequence[str] = ("split"
     points = scored(df).groupBy(*by, F.col("confidence").alias("score")).agg(
         F.count(F.lit(1)).alias("n"), F.count_if("hit").alias("hits")
     )
-    ranked = running_sums(points, by, "score", ["n"], descending=False)
-    edges = quantile_edges(ranked, by, bins)
-    binned = ranked.join(F.broadcast(edges), by).withColumn(
+    points = materialize(points, "confidences")
+    edges = quantile_edges(running_sums(points, by, "score", ["n"], descending=False, stored=True), by, bins)
+    binned = points.join(F.broadcast(edges), by).withColumn(
         "bin", F.size(F.filter("edges", lambda e: e < F.col("score")))
     )
     return binned.groupBy(*by, "bin").agg(
@@ -72,9 +73,8 @@ def confidence_histogram(df: DataFrame, bins: int = 40, by: Sequence[str] = ("sp
     """
     keys = [*by, "correct"]
     rows = scored(df).select(*by, F.col("hit").alias("correct"), "confidence")
-    points = rows.groupBy(*keys, "confidence").agg(F.count(F.lit(1)).alias("n"))
     flat = F.min("confidence") == F.max("confidence")
-    ranges = points.groupBy(*keys).agg(
+    ranges = rows.groupBy(*keys).agg(
         (F.min("confidence") - F.when(flat, 0.5).otherwise(0.0)).alias("low"),
         (F.max("confidence") + F.when(flat, 0.5).otherwise(0.0)).alias("high"),
     )
@@ -85,13 +85,12 @@ def confidence_histogram(df: DataFrame, bins: int = 40, by: Sequence[str] = ("sp
         return F.when(i == bins, high).otherwise(low + i.cast("double") * step)
 
     guess = F.least(F.floor((x - low) / (high - low) * bins).cast("int"), F.lit(bins - 1))
-    # Two rows per evaluation: correct and wrong.
-    placed = points.join(F.broadcast(ranges), keys).withColumn("_g", guess)
+    # Two rows per evaluation on the small side: correct and wrong. Only bin counts are shuffled.
+    placed = rows.join(F.broadcast(ranges), keys).withColumn("_g", guess)
     moved = F.when(x < edge(F.col("_g")), F.col("_g") - 1).when(
         (x >= edge(F.col("_g") + 1)) & (F.col("_g") < bins - 1), F.col("_g") + 1
     ).otherwise(F.col("_g"))
-    return placed.withColumn("bin", moved).groupBy(*keys, "bin").agg(
-        F.sum("n").alias("n"),
-        F.round(F.min(edge(F.col("bin"))), 6).alias("left_edge"),
-        F.round(F.min(edge(F.col("bin") + 1)), 6).alias("right_edge"),
+    counted = placed.groupBy(*keys, "low", "high", moved.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return counted.select(
+        *keys, "bin", "n", F.round(edge(F.col("bin")), 6).alias("left_edge"), F.round(edge(F.col("bin") + 1), 6).alias("right_edge")
     )

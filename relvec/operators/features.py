@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from relvec.functions import vectors as V
 from relvec.functions.scalars import cold_start, is_cold_text, user_available
-from relvec.operators.lookup import lookup, usage
+from relvec.operators.lookup import Usage, lookup, usage
 from relvec.operators.text_dictionary import with_text_keys
 from relvec.schema import ROLE_ID, ROLES, require_columns
 
@@ -31,7 +31,7 @@ def attach_vectors(rows: DataFrame, store: DataFrame, skip_user=None) -> DataFra
     Where `skip_user` is true no user vector is looked up, so the one text shared by all cold rows is no join key.
     """
     require_columns(rows, ROLE_ID.values(), "rows")
-    used = usage(store, "source_count", "role")
+    used = store_usage(store)
     for role in ROLES:
         wanted = ~skip_user if role == "user" and skip_user is not None else None
         entries = _role_entries(store, role, "text_id", ROLE_ID[role])
@@ -40,9 +40,13 @@ def attach_vectors(rows: DataFrame, store: DataFrame, skip_user=None) -> DataFra
     return rows
 
 
-def attach_ids_and_vectors(rows: DataFrame, store: DataFrame) -> DataFrame:
-    """Ids and vectors in one join per role, for rows that carry text keys."""
-    used = usage(store, "source_count", "role")
+def store_usage(store: DataFrame) -> dict[str, Usage]:
+    return usage(store, "source_count", "role")
+
+
+def attach_ids_and_vectors(rows: DataFrame, store: DataFrame, used: dict[str, Usage] | None = None) -> DataFrame:
+    """Ids and vectors in one join per role, for rows that carry text keys. `used` must describe this very store."""
+    used = store_usage(store) if used is None else used
     for role in ROLES:
         key = f"{role}_text_key"
         entries = _role_entries(store, role, "text_key", key)
@@ -72,6 +76,7 @@ def cosine_features(
     name: str = "",
     row_key: Sequence[str] | None = None,
     arrow: bool = True,
+    used: dict[str, Usage] | None = None,
 ) -> DataFrame:
     """Interactions with text ids, availability flag and cosines; every input column passes through.
 
@@ -79,13 +84,13 @@ def cosine_features(
     lookups, and the wide rows are shuffled once, when the features come back.
     """
     if row_key is None:
-        rows = attach_ids_and_vectors(with_text_keys(interactions), store)
+        rows = attach_ids_and_vectors(with_text_keys(interactions), store, used)
         return add_cosines(rows, dims, name, arrow=arrow)
     narrow = interactions.select(*row_key, "query_text", "user_profile_text", "candidate_text")
     narrow = with_text_keys(narrow).withColumn("_cold_row", is_cold_text()).drop(
         "query_text", "user_profile_text", "candidate_text"
     )
-    narrow = attach_ids_and_vectors(narrow, store)
+    narrow = attach_ids_and_vectors(narrow, store, used)
     features = add_cosines(narrow, dims, name, cold=F.col("_cold_row"), arrow=arrow).drop("_cold_row")
     return interactions.join(features, list(row_key), "left")
 

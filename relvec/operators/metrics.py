@@ -49,39 +49,46 @@ def confusion_cells(df: DataFrame, by: Sequence[str] = ("split",), weight: str |
 def confusion_matrix(
     df: DataFrame, num_classes: int, by: Sequence[str] = ("split",), weight: str | None = None
 ) -> DataFrame:
-    """Every cell of the class grid, empty ones as 0."""
-    cells = confusion_cells(df, by, weight).select(*by, "label_id", "predicted_id", "n")
-    ids = F.sequence(F.lit(0), F.lit(num_classes - 1))
-    grid = cells.select(*by).distinct().withColumn("label_id", F.explode(ids)).withColumn("predicted_id", F.explode(ids))
-    return grid.join(cells, [*by, "label_id", "predicted_id"], "left").na.fill(0, ["n"])
+    """Every cell of the class grid, empty ones as 0. The cells of one evaluation are at most classes squared."""
+    cells = confusion_cells(df, by, weight)
+    found = F.map_from_entries(F.collect_list(F.struct(F.struct("label_id", "predicted_id").alias("k"), F.col("n").alias("v"))))
+    grid = F.sequence(F.lit(0), F.lit(num_classes - 1))
+    spread = cells.withColumn("label_id", F.col("label_id").cast("int")).groupBy(*by).agg(found.alias("_cells")).withColumn(
+        "label_id", F.explode(grid)
+    ).withColumn("predicted_id", F.explode(grid))
+    n = F.coalesce(F.try_element_at("_cells", F.struct("label_id", "predicted_id")), F.lit(0))
+    return spread.select(*by, "label_id", "predicted_id", n.alias("n"))
 
 
 def class_scores(cells: DataFrame, by: Sequence[str] = ("split",)) -> DataFrame:
-    """Per class: hits, support, predictions, precision, recall, F1. Only classes seen on either side appear."""
-    hit = F.when(F.col("label_id") == F.col("predicted_id"), F.col("n")).otherwise(0)
+    """Per class: hits, support, predictions, precision, recall, F1, and rows and loss of its true members.
+
+    Only classes seen on either side appear.
+    """
+    n = F.col("n").cast("double")
+    hit = F.when(F.col("label_id") == F.col("predicted_id"), n).otherwise(0.0)
+    none = F.lit(0.0)
     sides = F.array(
-        F.struct(F.col("label_id").cast("int").alias("class_id"), hit.alias("tp"), F.col("n").alias("support"),
-                 (F.col("n") * 0).alias("predicted")),
-        F.struct(F.col("predicted_id").cast("int").alias("class_id"), (F.col("n") * 0).alias("tp"),
-                 (F.col("n") * 0).alias("support"), F.col("n").alias("predicted")),
+        F.struct(F.col("label_id").cast("int").alias("class_id"), hit.alias("tp"), n.alias("support"), none.alias("predicted"),
+                 F.col("rows").alias("rows"), F.col("loss").alias("loss")),
+        F.struct(F.col("predicted_id").cast("int").alias("class_id"), none.alias("tp"), none.alias("support"), n.alias("predicted"),
+                 F.lit(0).cast("bigint").alias("rows"), none.alias("loss")),
     )
     summed = cells.select(*by, F.inline(sides)).groupBy(*by, "class_id").agg(
-        *[F.sum(c).cast("double").alias(c) for c in ("tp", "support", "predicted")]
+        *[F.sum(c).alias(c) for c in ("tp", "support", "predicted", "rows", "loss")]
     )
-    zero = F.lit(0.0)
     return summed.withColumns({
-        "precision": F.coalesce(F.try_divide("tp", "predicted"), zero),
-        "recall": F.coalesce(F.try_divide("tp", "support"), zero),
-        "f1": F.coalesce(F.try_divide(F.col("tp") * 2, F.col("support") + F.col("predicted")), zero),
+        "precision": F.coalesce(F.try_divide("tp", "predicted"), none),
+        "recall": F.coalesce(F.try_divide("tp", "support"), none),
+        "f1": F.coalesce(F.try_divide(F.col("tp") * 2, F.col("support") + F.col("predicted")), none),
     })
 
 
 def threshold_free_metrics(cells: DataFrame, by: Sequence[str] = ("split",)) -> DataFrame:
     """One row per evaluation: row count, log loss, accuracy and the macro and weighted averages."""
-    totals = cells.groupBy(*by).agg(
-        F.sum("rows").alias("count"), F.try_divide(F.sum("loss"), F.sum("n").cast("double")).alias("logloss")
-    )
-    averages = class_scores(cells, by).groupBy(*by).agg(
+    return class_scores(cells, by).groupBy(*by).agg(
+        F.sum("rows").alias("count"),
+        F.try_divide(F.sum("loss"), F.sum("support")).alias("logloss"),
         F.try_divide(F.sum("tp"), F.sum("support")).alias("accuracy"),
         F.avg(F.when(F.col("support") > 0, F.col("recall"))).alias("balanced_accuracy"),
         F.avg("precision").alias("precision_macro"),
@@ -89,7 +96,6 @@ def threshold_free_metrics(cells: DataFrame, by: Sequence[str] = ("split",)) ->
         F.avg("f1").alias("f1_macro"),
         F.coalesce(F.try_divide(F.sum(F.col("f1") * F.col("support")), F.sum("support")), F.lit(0.0)).alias("f1_weighted"),
     )
-    return totals.join(averages, list(by))
 
 
 def score_points(
@@ -125,7 +131,7 @@ def areas(cumulative: DataFrame, group: Sequence[str]) -> DataFrame:
         F.sum(pos).alias("_p"), F.sum(neg).alias("_n"), F.sum(neg * (above + pos / 2)).alias("_u"), F.sum(step).alias("_s")
     )
     return sums.select(
-        *group,
+        *group, F.col("_p").alias("positives"), F.col("_n").alias("negatives"),
         F.try_divide("_u", F.col("_p") * F.col("_n")).alias("roc_auc"),
         F.coalesce(F.try_divide("_s", "_p"), F.lit(0.0)).alias("average_precision"),
     )
@@ -188,15 +194,13 @@ def weighted_cross_entropy(df: DataFrame, by: Sequence[str] = ("split",), weight
 def roc_curve_micro(df: DataFrame, num_classes: int, by: Sequence[str] = ("split",)) -> DataFrame:
     """Curve points over all (row, class) pairs, from the origin to (1, 1), with the area."""
     points = cumulative_hits(score_points(df, num_classes, by, micro=True), by)
-    ends = areas(points, by).select(*by, "roc_auc")
-    totals = points.groupBy(*by).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n")).join(ends, list(by))
-    body = points.select(*by, F.col("score").alias("threshold"), "cum_pos", "cum_neg")
-    origin = totals.select(*by, F.lit(None).cast("double").alias("threshold"),
-                           (F.col("_p") * 0).alias("cum_pos"), (F.col("_n") * 0).alias("cum_neg"))
+    totals = areas(points, by)
+    zero = F.lit(0).cast(points.schema["cum_pos"].dataType)
+    origin = totals.select(*by, F.lit(None).cast("double").alias("score"), zero.alias("cum_pos"), zero.alias("cum_neg"))
     # One row per evaluation on the small side.
-    return body.unionByName(origin).join(F.broadcast(totals), list(by)).select(
-        *by, rounded(F.col("threshold")).alias("threshold"),
-        rounded(F.try_divide("cum_neg", "_n")).alias("fpr"), rounded(F.try_divide("cum_pos", "_p")).alias("tpr"),
+    return points.select(*by, "score", "cum_pos", "cum_neg").unionByName(origin).join(F.broadcast(totals), list(by)).select(
+        *by, rounded(F.col("score")).alias("threshold"),
+        rounded(F.try_divide("cum_neg", "negatives")).alias("fpr"), rounded(F.try_divide("cum_pos", "positives")).alias("tpr"),
         rounded(F.col("roc_auc")).alias("auc"),
     )
 
@@ -204,13 +208,12 @@ def roc_curve_micro(df: DataFrame, num_classes: int, by: Sequence[str] = ("split
 def pr_curve_micro(df: DataFrame, num_classes: int, by: Sequence[str] = ("split",)) -> DataFrame:
     """Precision and recall at each distinct score, closed by (precision 1, recall 0), with average precision."""
     points = cumulative_hits(score_points(df, num_classes, by, micro=True), by)
-    ends = areas(points, by).select(*by, "average_precision")
-    totals = points.groupBy(*by).agg(F.sum("pos").alias("_p")).join(ends, list(by))
+    totals = areas(points, by)
     one = F.lit(1.0)
     body = points.join(F.broadcast(totals), list(by)).select(
         *by, rounded(F.col("score")).alias("threshold"),
         F.coalesce(F.try_divide("cum_pos", F.col("cum_pos") + F.col("cum_neg")), F.lit(0.0)).alias("precision"),
-        F.coalesce(F.try_divide("cum_pos", "_p"), one).alias("recall"), "average_precision",
+        F.coalesce(F.try_divide("cum_pos", "positives"), one).alias("recall"), "average_precision",
     )
     last = totals.select(*by, F.lit(None).cast("double").alias("threshold"), one.alias("precision"),
                          F.lit(0.0).alias("recall"), "average_precision")

@@ -67,14 +67,15 @@ def running_sums(
     values: Sequence[str],
     descending: bool = True,
     rows_per_window: int = ROWS_PER_WINDOW,
+    stored: bool = False,
 ) -> DataFrame:
     """Add `cum_<value>` per group in score order. `points` holds each (group, score) once.
 
-    The points are stored first: they are read several times, and their number decides how many buckets are needed so
-    that no window sorts much more than `rows_per_window` rows.
+    The points are stored first, unless the caller did: they are read several times, and their number decides how many
+    buckets are needed so that no window sorts much more than `rows_per_window` rows.
     """
     group = list(group)
-    points = materialize(points, "points")
+    points = points if stored else materialize(points, "points")
     buckets = min(max(-(-points.count() // rows_per_window), 1), MAX_BUCKETS)
     bucketed = _with_bucket(points, score, buckets)
     score_order = F.desc(score) if descending else F.asc(score)

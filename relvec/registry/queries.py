@@ -94,7 +94,7 @@ def store_roundtrip(spark, sf):
 @query("metrics_wide")
 def metrics_wide(spark, sf):
     folder = scratch_path(spark, "metrics")
-    records.write_csv(M.to_wide(M.evaluate_split(X.predictions(spark, sf), K)), folder)
+    records.write_csv(M.to_wide(M.evaluate_split(X.stored_predictions(spark, sf), K)), folder)
     schema = "split string, " + ", ".join(f"`{m}` double" for m in M.METRICS)
     return spark.read.schema(schema).csv(folder, header=True)
 
@@ -521,17 +521,17 @@ def calibration_bins(spark, sf):
 
 @query("confidence_histogram")
 def confidence_histogram(spark, sf):
-    return C.confidence_histogram(X.predictions(spark, sf))
+    return C.confidence_histogram(X.stored_predictions(spark, sf))
 
 
 @query("evaluate_split")
 def evaluate_split(spark, sf):
-    return M.evaluate_split(X.predictions(spark, sf), K)
+    return M.evaluate_split(X.stored_predictions(spark, sf), K)
 
 
 @query("evaluate_split_weighted")
 def evaluate_split_weighted(spark, sf):
-    return M.evaluate_wide(X.predictions(spark, sf), K, weight="label_weight")
+    return M.evaluate_wide(X.stored_predictions(spark, sf), K, weight="label_weight")
 
 
 @query("weighted_cross_entropy")

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from relvec.operators.encode import Encoder, encode_dictionary
-from relvec.operators.features import cosine_features
+from relvec.operators.features import cosine_features, store_usage
 from relvec.operators.text_dictionary import completion, pending
 from relvec.sources.tables import read_store, write_store
 
@@ -60,9 +60,12 @@ def feature_stream(
     that is repeated after a failure overwrites its own directory.
     """
 
+    # One snapshot of the store, measured once, serves all batches of this start.
+    store = read_store(spark, store_folder)
+    used = store_usage(store)
+
     def write_batch(rows: DataFrame, number: int) -> None:
-        store = read_store(rows.sparkSession, store_folder)
-        features = cosine_features(rows, store, dims)
+        features = cosine_features(rows, store, dims, used=used)
         features.withColumn("_batch", F.lit(number)).write.partitionBy("_batch", "split").mode("overwrite").option(
             "partitionOverwriteMode", "dynamic"
         ).parquet(target)
