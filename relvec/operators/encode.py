@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from relvec.operators.text_dictionary import pending
 from relvec.schema import STORE_SCHEMA
+from relvec.session import shuffle_partitions
 
 
 class Encoder(Protocol):
@@ -80,6 +81,7 @@ def encode_dictionary(
     """Store rows for every dictionary text that `done` does not hold yet."""
     todo = dictionary if done is None else pending(dictionary, done)
     columns = ["role", "text_id", "text_key", "source_count", "text"]
-    # Dictionary files are range-sorted by count; spread the encoder's work evenly again.
-    spread = todo.select(*columns).repartition("role", "text_key")
+    # Dictionary files are range-sorted by count; spread the encoder's work evenly again. A fixed number of partitions
+    # keeps small rows with costly encoding from being merged into few tasks.
+    spread = todo.select(*columns).repartition(shuffle_partitions(todo.sparkSession), "role", "text_key")
     return encode_texts(spread, make_encoder, dim, batch_size).select(*STORE_SCHEMA.names)

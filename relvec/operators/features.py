@@ -25,6 +25,11 @@ def _role_entries(store: DataFrame, role: str, key: str, key_name: str) -> DataF
     )
 
 
+def _largest_first(used: dict[str, Usage]) -> list[str]:
+    """Roles that need a shuffle come first, so vectors of small, broadcast roles never travel through one."""
+    return sorted(ROLES, key=lambda role: -used[role].entries if role in used else 0)
+
+
 def attach_vectors(rows: DataFrame, store: DataFrame, skip_user=None) -> DataFrame:
     """Gather the three vectors of rows that carry text ids; an id without a vector fails the job.
 
@@ -32,7 +37,7 @@ def attach_vectors(rows: DataFrame, store: DataFrame, skip_user=None) -> DataFra
     """
     require_columns(rows, ROLE_ID.values(), "rows")
     used = store_usage(store)
-    for role in ROLES:
+    for role in _largest_first(used):
         wanted = ~skip_user if role == "user" and skip_user is not None else None
         entries = _role_entries(store, role, "text_id", ROLE_ID[role])
         rows = lookup(rows, entries, ROLE_ID[role], [VECTOR[role]], count="source_count",
@@ -47,7 +52,7 @@ def store_usage(store: DataFrame) -> dict[str, Usage]:
 def attach_ids_and_vectors(rows: DataFrame, store: DataFrame, used: dict[str, Usage] | None = None) -> DataFrame:
     """Ids and vectors in one join per role, for rows that carry text keys. `used` must describe this very store."""
     used = store_usage(store) if used is None else used
-    for role in ROLES:
+    for role in _largest_first(used):
         key = f"{role}_text_key"
         entries = _role_entries(store, role, "text_key", key)
         rows = lookup(rows, entries, key, [ROLE_ID[role], VECTOR[role]], count="source_count",

@@ -20,7 +20,7 @@ def hot_slots(df: DataFrame) -> int:
 class Usage(NamedTuple):
     """How unevenly a lookup table is used: hot entries have a count above `limit`."""
 
-    limit: float
+    limit: int
     hot: int
     entries: int
 
@@ -32,7 +32,7 @@ def usage(table: DataFrame, count: str, by: str) -> dict[str, Usage]:
     entries are hot, whatever the size of the data.
     """
     slots = hot_slots(table)
-    totals = table.groupBy(by).agg((F.sum(count) / slots).alias("limit"))
+    totals = table.groupBy(by).agg(F.floor(F.sum(count) / slots).alias("limit"))
     # One row per value of `by`, a role.
     measured = table.join(F.broadcast(totals), by).groupBy(by).agg(
         F.first("limit").alias("limit"), F.count_if(F.col(count) > F.col("limit")).alias("hot"),

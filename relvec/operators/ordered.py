@@ -19,12 +19,19 @@ from relvec.session import materialize, shuffle_partitions
 _ROWS_PER_PARTITION_BITS = 33  # layout of monotonically_increasing_id
 
 
-def dense_ids(df: DataFrame, group: Sequence[str], order: Sequence[Column], id_column: str) -> DataFrame:
-    """Zero-based position of each row inside its group. `group` + `order` must identify a row."""
+def dense_ids(
+    df: DataFrame, group: Sequence[str], order: Sequence[Column], id_column: str, range_by: Sequence[Column] | None = None
+) -> DataFrame:
+    """Zero-based position of each row inside its group. `group` + `order` must identify a row.
+
+    `range_by` may name shorter keys that sort the same way, such as text prefixes: range bounds are sampled keys that
+    reach the driver, so long ones should not be sampled whole. Rows with equal range keys share a range.
+    """
     keys = [F.col(g) for g in group] + list(order)
+    ranges = [F.col(g) for g in group] + list(order if range_by is None else range_by)
     parts = shuffle_partitions(df.sparkSession)
     placed = (
-        df.repartitionByRange(parts, *keys)
+        df.repartitionByRange(parts, *ranges)
         .sortWithinPartitions(*keys)
         .withColumn("_at", F.monotonically_increasing_id())
     )

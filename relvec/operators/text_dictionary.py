@@ -13,6 +13,9 @@ from relvec.operators.ordered import dense_ids
 from relvec.schema import ROLE_ID, ROLE_TEXT, ROLES, require_columns
 
 
+RANGE_PREFIX = 256  # characters of a text that take part in sampled range bounds
+
+
 def role_texts(interactions: DataFrame, roles: Sequence[str] = ROLES) -> DataFrame:
     """One row per interaction and role, from a single scan. A NULL text counts as the empty text."""
     require_columns(interactions, [ROLE_TEXT[r] for r in roles], "interactions")
@@ -33,7 +36,10 @@ def text_dictionary(interactions: DataFrame, roles: Sequence[str] = ROLES) -> Da
     Ties follow the binary order of the text, so ids do not depend on partitioning.
     """
     counted = text_counts(interactions, roles)
-    numbered = dense_ids(counted, ["role"], [F.desc("source_count"), F.asc("text")], "text_id")
+    numbered = dense_ids(
+        counted, ["role"], [F.desc("source_count"), F.asc("text")], "text_id",
+        range_by=[F.desc("source_count"), F.substring("text", 1, RANGE_PREFIX).asc()],
+    )
     return numbered.withColumn("text_key", text_key("text"))
 
 

@@ -12,6 +12,7 @@ from relvec.operators.encode import Encoder
 from relvec.operators.features import cosine_features
 from relvec.operators.text_dictionary import text_dictionary
 from relvec.schema import parse_prefix_dims
+from relvec.session import materialize
 from relvec.sources.records import append_run_record
 from relvec.sources.tables import read_splits, read_store, write_features
 from relvec.streaming.incremental import embed_pending
@@ -36,7 +37,7 @@ def build(
     embedded = embed_pending(spark, dictionary, f"{output_dir}/store", make_encoder, full_dim)
     # Ids and counts follow the current dictionary; vectors follow the text.
     vectors = read_store(spark, f"{output_dir}/store").select("role", "text_key", "embedding")
-    store = dictionary.drop("text").join(vectors, ["role", "text_key"])
+    store = materialize(dictionary.drop("text").join(vectors, ["role", "text_key"]), "store")
     features = cosine_features(rows, store, dims, name, row_key)
     write_features(features, f"{output_dir}/features")
     sizes = {r["role"]: r["n"] for r in dictionary.groupBy("role").agg(F.count(F.lit(1)).alias("n")).collect()}

@@ -50,8 +50,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared folder that no other call uses."""
-    return f"{shared_dir(spark)}/relvec/{name}-{uuid.uuid4().hex}"
+    """A path under the shared folder that no other call uses; one folder per application, so it can be dropped whole."""
+    return f"{shared_dir(spark)}/relvec/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
