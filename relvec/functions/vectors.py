@@ -47,6 +47,13 @@ def prefix(vector: str | Column, dim: int) -> Column:
     return F.slice(_col(vector), 1, dim)
 
 
+def checked_prefix(vector: str | Column, dim: int) -> Column:
+    """Leading components; a vector with fewer fails the job. A NULL vector stays NULL."""
+    vector = _col(vector)
+    failure = F.raise_error(F.concat(F.lit(f"prefix length {dim} exceeds a vector of "), F.size(vector).cast("string")))
+    return F.when(vector.isNull() | (F.size(vector) >= dim), prefix(vector, dim)).otherwise(failure.cast(VECTOR_TYPE))
+
+
 def zeros(dim: int) -> Column:
     return F.array_repeat(F.lit(0).cast("tinyint"), dim)
 

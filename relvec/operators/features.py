@@ -104,7 +104,9 @@ def feature_vector(
     rows: DataFrame, dim: int, zero_cold_users: bool = True, output: str = "features_int8"
 ) -> DataFrame:
     """Concatenate the query, user and candidate prefixes; cold users are zeroed unless asked otherwise."""
-    q, u, c = (V.prefix(F.col(VECTOR[r]), dim) for r in ROLES)
+    if dim <= 0:
+        raise ValueError(f"prefix length must be positive, got {dim}")
+    q, u, c = (V.checked_prefix(F.col(VECTOR[r]), dim) for r in ROLES)
     if zero_cold_users:
         u = V.zero_when(cold_start(rows), u, dim)
     return rows.withColumn(output, F.concat(q, u, c)).drop(*VECTOR.values())

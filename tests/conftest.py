@@ -12,7 +12,7 @@ def spark(tmp_path_factory):
     from relvec.session import local_session
 
     shared = {"spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))}
-    session = local_session("tests", cores=4, shuffle_partitions=4, **shared)
+    session = local_session("tests", cores=2, shuffle_partitions=3, **shared)
     yield session
     session.stop()
 

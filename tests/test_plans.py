@@ -34,7 +34,7 @@ def test_feature_build_and_rerun(spark, tmp_path, small):
     assert spark.read.text(out + "/manifest").count() == 2
 
 
-@pytest.mark.parametrize("model", ["logreg", "mlp", "lbfgs", "trees"])
+@pytest.mark.parametrize("model", ["mlp", "lbfgs", "trees"])
 def test_training_run_writes_everything(spark, tmp_path, training_input, model):
     settings = {
         "logreg": {"max_epochs": 1, "steps_per_epoch": 1}, "mlp": {"hidden": (4,), "max_epochs": 1, "steps_per_epoch": 1},
@@ -49,6 +49,8 @@ def test_training_run_writes_everything(spark, tmp_path, training_input, model):
     assert predictions.count() == rows.count()
     assert predictions.where("split <> 'train' and effective_sample_weight is not null").count() == 0
     assert {"original_label", "prediction_confidence", "predicted_label"} <= set(predictions.columns)
+    assert record["weight_sanitization"]["train"]["weight_count"] == rows.where("split = 'train'").count()
+    assert sum(record["coldstart_rows"].values()) == rows.where("embedding_user_available = 0").count()
     assert set(record["metrics"]) == {"train", "valid", "test"} and len(record["class_weight_map"]) == record["num_classes"]
     assert spark.read.csv(folder + "/artifacts/feature_importance", header=True).count() == 12
     assert spark.read.json(folder + "/artifacts/history").count() > 0
@@ -80,6 +82,18 @@ def test_grid_records_failures(spark, tmp_path, training_input):
     assert ablation.summarize(manifest, empty).count() == 4
 
 
+def test_grid_summary_is_written_before_failing(spark, tmp_path, training_input):
+    rows, store = training_input
+    common = {"max_epochs": 1, "steps_per_epoch": 1}
+    configs = ablation.grid(["logreg"], [4, 4000], ["off"], common=common)
+    with pytest.raises(RuntimeError, match="logreg_rawdim4000_off"):
+        ablation.run_and_summarize(spark, rows, store, configs, str(tmp_path))
+    best, broken = spark.read.csv(f"{tmp_path}/reports/summary", header=True).collect()
+    assert (best.experiment_name, best.feature_count, best.best_epoch) == ("logreg_rawdim4_off", "12", "1")
+    assert float(best.valid_f1_macro) > 0
+    assert (broken.status, broken.valid_f1_macro) == ("failed", None)
+
+
 def test_bad_options():
     with pytest.raises(ValueError, match="unsupported model"):
         TrainingConfig("forest")

@@ -6,11 +6,9 @@ from oracle_check import compare, connect
 from __spark_entry__ import entry, oracle_sql, queries
 
 SAMPLE = [
-    "base64_ingest", "calibration_bins", "class_list", "coldstart_ladder", "confidence_histogram", "effective_weights",
-    "evaluate_split", "evaluate_split_weighted", "feature_split_roundtrip", "history_best_patience", "incremental_features",
-    "label_names_sanitized", "one_hot", "one_hot_sparse", "pending_texts", "prediction_frame", "prefix_cosine_features",
-    "pr_curve_micro", "roc_curve_micro", "run_metrics_flat", "run_ranking", "text_dictionary_candidate", "time_features",
-    "zeroed_concat",
+    "base64_ingest", "calibration_bins", "coldstart_ladder", "confidence_histogram", "effective_weights",
+    "evaluate_split_weighted", "one_hot", "one_hot_sparse", "pending_texts", "prefix_cosine_features", "run_ranking",
+    "time_features",
 ]
 
 

@@ -97,6 +97,14 @@ def test_concat_zeroes_cold_users_on_request(spark):
     assert both == [[[1, 0, 5], [1, 3, 5]], [[1, 3, 5], [1, 3, 5]]]
 
 
+def test_prefix_longer_than_the_vector_fails(spark):
+    df = spark.createDataFrame([([1, 2], [3, 4], [5, 6])], "query_vec array<tinyint>, user_vec array<tinyint>, candidate_vec array<tinyint>")
+    with pytest.raises(Exception, match="prefix length 3 exceeds a vector of 2"):
+        FE.feature_vector(df, 3).collect()
+    with pytest.raises(ValueError, match="positive"):
+        FE.feature_vector(df, 0)
+
+
 def test_features_do_not_depend_on_partitioning_or_path(spark, small):
     rows, store = interactions_and_store(spark, small)
     one = FE.cosine_features(rows.coalesce(1), store, DIMS)
