@@ -11,7 +11,8 @@ from relvec.functions import vectors as V
 from relvec.functions.scalars import cold_start, is_cold_text, user_available
 from relvec.operators.lookup import Usage, lookup, usage
 from relvec.operators.text_dictionary import with_text_keys
-from relvec.schema import ROLE_ID, ROLES, require_columns
+from relvec.schema import COLD_START_TEXT, ROLE_ID, ROLES, require_columns
+from relvec.session import materialize
 
 VECTOR = {role: f"{role}_vec" for role in ROLES}
 
@@ -79,25 +80,30 @@ def cosine_features(
     store: DataFrame,
     dims: Sequence[int],
     name: str = "",
-    row_key: Sequence[str] | None = None,
+    once_per_triple: bool = False,
     arrow: bool = True,
     used: dict[str, Usage] | None = None,
 ) -> DataFrame:
     """Interactions with text ids, availability flag and cosines; every input column passes through.
 
-    With `row_key` (columns that identify an interaction) only the key and text hashes travel through the three
-    lookups, and the wide rows are shuffled once, when the features come back.
+    With `once_per_triple` each distinct (query, user, candidate) is computed once: only text hashes travel through the
+    three lookups, copies are absorbed by the first partial count, and the wide rows are shuffled once, when the stored
+    features come back. It needs no row id. Choose it when rows are wide or repeat.
     """
-    if row_key is None:
-        rows = attach_ids_and_vectors(with_text_keys(interactions), store, used)
-        return add_cosines(rows, dims, name, arrow=arrow)
-    narrow = interactions.select(*row_key, "query_text", "user_profile_text", "candidate_text")
-    narrow = with_text_keys(narrow).withColumn("_cold_row", is_cold_text()).drop(
-        "query_text", "user_profile_text", "candidate_text"
+    keyed = with_text_keys(interactions)
+    if not once_per_triple:
+        return add_cosines(attach_ids_and_vectors(keyed, store, used), dims, name, arrow=arrow)
+    keys = [f"{role}_text_key" for role in ROLES]
+    triple = F.sha2(F.concat(*keys), 256)
+    distinct = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).withColumns(
+        {"_triple": triple, "_is_cold": F.col("user_text_key") == F.sha2(F.lit(COLD_START_TEXT), 256)}
     )
-    narrow = attach_ids_and_vectors(narrow, store, used)
-    features = add_cosines(narrow, dims, name, cold=F.col("_cold_row"), arrow=arrow).drop("_cold_row")
-    return interactions.join(features, list(row_key), "left")
+    rows = attach_ids_and_vectors(distinct, store, used)
+    features = materialize(add_cosines(rows, dims, name, cold=F.col("_is_cold"), arrow=arrow).drop("_is_cold"), "triples")
+    payload = [*[c for c in ROLE_ID.values()], *[c for c in features.columns if c not in ("_triple", "_n", *ROLE_ID.values())]]
+    measured = usage(features.withColumn("_all", F.lit("all")), "_n", "_all").get("all")
+    back = keyed.withColumn("_triple", triple).drop(*keys)
+    return lookup(back, features, "_triple", payload, "_n", measured, missing="no features for").drop("_triple")
 
 
 def feature_vector(

@@ -12,9 +12,8 @@ from relvec.operators.encode import Encoder
 from relvec.operators.features import cosine_features
 from relvec.operators.text_dictionary import text_dictionary
 from relvec.schema import parse_prefix_dims
-from relvec.session import materialize
 from relvec.sources.records import append_run_record
-from relvec.sources.tables import read_splits, read_store, write_features
+from relvec.sources.tables import read_splits, read_store, write_features, write_store
 from relvec.streaming.incremental import embed_pending
 
 
@@ -25,7 +24,7 @@ def build(
     make_encoder: Callable[[], Encoder],
     full_dim: int = 1024,
     prefix_dims: str | Sequence[int] = (256, 512, 1024),
-    row_key: Sequence[str] | None = ("event_id",),
+    once_per_triple: bool = True,
     name: str = "",
 ) -> dict:
     """Embed each distinct text once, write features per split, and record the job. A rerun embeds only new texts."""
@@ -34,11 +33,12 @@ def build(
     dictionary = text_dictionary(rows)
     dictionary.write.mode("overwrite").partitionBy("role").parquet(f"{output_dir}/texts")
     dictionary = spark.read.parquet(f"{output_dir}/texts")
-    embedded = embed_pending(spark, dictionary, f"{output_dir}/store", make_encoder, full_dim)
-    # Ids and counts follow the current dictionary; vectors follow the text.
-    vectors = read_store(spark, f"{output_dir}/store").select("role", "text_key", "embedding")
-    store = materialize(dictionary.drop("text").join(vectors, ["role", "text_key"]), "store")
-    features = cosine_features(rows, store, dims, name, row_key)
+    embedded = embed_pending(spark, dictionary, f"{output_dir}/vectors", make_encoder, full_dim)
+    # Vectors are kept by text; ids and counts follow the current dictionary, so the store is joined anew.
+    vectors = read_store(spark, f"{output_dir}/vectors").select("role", "text_key", "embedding")
+    write_store(dictionary.drop("text").join(vectors, ["role", "text_key"]), f"{output_dir}/store", "overwrite")
+    store = read_store(spark, f"{output_dir}/store")
+    features = cosine_features(rows, store, dims, name, once_per_triple)
     write_features(features, f"{output_dir}/features")
     sizes = {r["role"]: r["n"] for r in dictionary.groupBy("role").agg(F.count(F.lit(1)).alias("n")).collect()}
     record = {

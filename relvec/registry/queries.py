@@ -75,7 +75,7 @@ def _id_rows(spark, sf) -> tuple[DataFrame, DataFrame]:
 def feature_split_roundtrip(spark, sf):
     rows, store = X.interactions_and_store(spark, sf)
     folder = scratch_path(spark, "features")
-    tables.write_features(no_text(FE.cosine_features(rows, store, X.DIMS, row_key=["event_id"])), folder)
+    tables.write_features(no_text(FE.cosine_features(rows, store, X.DIMS, once_per_triple=True)), folder)
     back = tables.read_features(spark, folder, "valid").unionByName(tables.read_features(spark, folder, "test"))
     return back.select("event_id", "split", "query_text_id", "user_text_id", "candidate_text_id",
                        F.round("quc_cosine_64", 6).alias("quc_cosine_64"))

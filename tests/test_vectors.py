@@ -108,7 +108,7 @@ def test_prefix_longer_than_the_vector_fails(spark):
 def test_features_do_not_depend_on_partitioning_or_path(spark, small):
     rows, store = interactions_and_store(spark, small)
     one = FE.cosine_features(rows.coalesce(1), store, DIMS)
-    many = FE.cosine_features(rows.repartition(7), store, DIMS, row_key=["event_id"])
+    many = FE.cosine_features(rows.repartition(7), store, DIMS, once_per_triple=True)
     builtin = FE.cosine_features(rows, store, DIMS, arrow=False)
     columns = sorted(one.columns)
     assert sorted(many.columns) == columns
@@ -116,6 +116,15 @@ def test_features_do_not_depend_on_partitioning_or_path(spark, small):
     assert frames[0].equals(frames[1]) and frames[0].equals(frames[2])
 
 
+def test_copies_of_a_row_stay_copies(spark, small):
+    """A third of the rows are the same interaction."""
+    rows, store = interactions_and_store(spark, small)
+    copied = rows.union(rows.where("event_id = 7").withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(500)))).drop("i"))
+    out = FE.cosine_features(copied, store, [64], once_per_triple=True)
+    assert out.count() == 1500
+    assert out.where("event_id = 7").select("qc_cosine_64", "candidate_text_id").distinct().count() == 1
+
+
 def test_required_columns_and_unique_keys(spark):
     df = spark.createDataFrame([(1, "a"), (1, "b")], "k int, v string")
     with pytest.raises(ValueError, match="lacks required columns"):
