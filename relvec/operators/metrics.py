@@ -154,6 +154,8 @@ def evaluate_wide(
     df: DataFrame, num_classes: int, by: Sequence[str] = ("split",), weight: str | None = None, ranked: bool = True
 ) -> DataFrame:
     """One row per evaluation with every metric rounded to 6 digits. `ranked=False` leaves the two areas NULL."""
+    if not by:
+        raise ValueError("name at least one column that separates evaluations")
     wide = threshold_free_metrics(confusion_cells(df, by, weight), by)
     if ranked:
         wide = wide.join(macro_areas(df, num_classes, by, weight), list(by), "left")

@@ -177,6 +177,11 @@ def test_log_loss_clips(spark):
     assert row.logloss == pytest.approx((-np.log(EPS) - np.log(1 - EPS)) / 2, abs=1e-6)
 
 
+def test_evaluations_need_a_key(spark):
+    with pytest.raises(ValueError, match="at least one column"):
+        M.evaluate_wide(frame(spark, [0, 1], [[0.5, 0.5]] * 2), 2, by=[])
+
+
 def test_tall_and_wide_agree(spark):
     y, p, _ = sample()
     wide = M.evaluate_wide(frame(spark, y, p), 4)
