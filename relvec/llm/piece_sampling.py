@@ -25,6 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from relvec.llm.common import mix, pick, slices
 
@@ -239,7 +240,7 @@ def encode(docs: DataFrame, model: str = MODEL, seed: int = 0, key: str = "doc_i
             lists = pa.ListArray.from_arrays(pa.array(at), pa.array(ids), mask=texts.is_null())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], lists], [*batch.schema.names[: len(names)], "ids"])
 
-    out = plain.schema.add("ids", "array<int>")
+    out = T.StructType([*plain.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
     return seeded.mapInArrow(run, out).toDF(*names, "ids")
 
 
@@ -257,7 +258,7 @@ def decode(rows: DataFrame, model: str = MODEL, ids: str = "ids") -> DataFrame:
                 texts = sampler.decode(part.column(place))
                 yield pa.RecordBatch.from_arrays([*part.columns, texts], [*part.schema.names, "decoded"])
 
-    return plain.mapInArrow(run, plain.schema.add("decoded", "string")).toDF(*names, "decoded")
+    return plain.mapInArrow(run, T.StructType([*plain.schema.fields, T.StructField("decoded", T.StringType())])).toDF(*names, "decoded")
 
 
 def op5_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
