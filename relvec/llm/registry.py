@@ -1,9 +1,12 @@
 """Queries of this package and the SQL that checks them."""
 
-from relvec.llm import adaptive_scan, license_scan, mixing, odd_sketch, paragraph_lookup, piece_sampling, secret_scan, token_files, toxicity
+from relvec.llm import (
+    adaptive_scan, license_scan, mixing, odd_sketch, paragraph_lookup, piece_sampling, secret_scan, suffix_dedup, token_files,
+    toxicity,
+)
 
 MODULES = (
-    mixing, toxicity, paragraph_lookup, piece_sampling, adaptive_scan, secret_scan, odd_sketch, license_scan, token_files,
+    mixing, toxicity, suffix_dedup, paragraph_lookup, piece_sampling, adaptive_scan, secret_scan, odd_sketch, license_scan, token_files,
 )
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE: dict[str, str] = {name: sql for m in MODULES for name, sql in getattr(m, "ORACLE", {}).items()}
