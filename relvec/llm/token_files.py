@@ -139,7 +139,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "tokens")
     written = write_token_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder)
     counts = token_counts(scan_blocks(written.select("file").distinct(), folder))
-    return written.join(counts, ["file", "number"], "left").select("doc_id", F.col("n_tokens"))
+    # Both sides grow with the documents, and the counts look small to the planner: not to be broadcast.
+    return written.join(counts.hint("merge"), ["file", "number"], "left").select("doc_id", F.col("n_tokens"))
 
 
 QUERIES = {"op10_token_counts": op10_token_counts}
