@@ -25,6 +25,7 @@ MAX_TRAINING_ROWS = 20_000  # the sample bound
 FACTORS = 4
 ITERATIONS = 50
 STEP = 0.15
+INIT = 0.1  # deviation of the first pair vectors
 LEAST_CHI_SQUARE = 24.0  # about one in a million by chance
 THRESHOLD = 0.3
 
@@ -86,7 +87,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS, k
     rows = vectors.transform(sample).select("label", "_known").persist()
     machine = FMClassifier(
         featuresCol="_known", probabilityCol="_probability", rawPredictionCol="_raw", predictionCol="_predicted",
-        factorSize=FACTORS, maxIter=ITERATIONS, stepSize=STEP, regParam=1e-4, initStd=0.01, tol=1e-9, seed=7,
+        factorSize=FACTORS, maxIter=ITERATIONS, stepSize=STEP, regParam=1e-4, initStd=INIT, tol=1e-9, seed=7,
     ).fit(rows)
     rows.unpersist()
     sample.unpersist()
