@@ -42,7 +42,7 @@ def training_time(share: Column, knots: Sequence[tuple[float, float]]) -> Column
         slope = (h1 - h0) / (t1 - t0)
         left = F.greatest(share * whole - before, F.lit(0.0))
         # Solve h0 * x + slope * x**2 / 2 = left for x in the form that is stable when the slope is near 0.
-        x = 2 * left / (h0 + F.sqrt(F.greatest(F.lit(h0 * h0) + 2 * slope * left, F.lit(0.0))))
+        x = F.try_divide(2 * left, h0 + F.sqrt(F.greatest(F.lit(h0 * h0) + 2 * slope * left, F.lit(0.0))))
         cases.append((share * whole <= before + area, F.lit(t0) + F.coalesce(x, F.lit(0.0))))
         before += area
     for condition, value in reversed(cases):
@@ -105,7 +105,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, shapes=SHAPES, shar
     ]
     times = []
     for p, take in enumerate(takes):
-        at = (p * F.col("source_size") + F.col("start") + F.col("size") / 2) / F.col("target")
+        at = F.try_divide(p * F.col("source_size") + F.col("start") + F.col("size") / 2, F.col("target"))
         time = training_time(F.least(at, F.lit(1.0)), shapes[0])
         for i in range(1, len(shapes)):
             time = F.when(F.col("shape") == i, training_time(F.least(at, F.lit(1.0)), shapes[i])).otherwise(time)

@@ -6,8 +6,8 @@ into a bitmap of parities; the bits in which two bitmaps differ estimate how man
 the threshold go no further. What is left is confirmed on the full sets, so no wrong link is made.
 
 Equal sets are one node. A bucket of a band first compares its members with two of them only; once components are
-known, it compares those that are still apart, in blocks, so a group of any size needs no task of its own and pairs
-inside a component are never made.
+known, those outside its largest component are compared with all, in blocks, so a group of any size needs no task of its
+own and no table of its pairs.
 
 Defined cases: null or empty texts have no shingles and no links; fewer words than `width` make one shingle; rows
 without an id stay apart (component null, kept); rows that share an id count as one document; other columns are
@@ -34,7 +34,7 @@ SIMILAR = 80  # percent
 SAMPLES, ROWS = 128, 4  # minima, and minima in a band
 BITS = 512
 MOST_DIFFERING_BITS = 92  # of two bitmaps; at similarity 0.8 they differ in 46 with a deviation of 8
-BLOCK = 512
+BLOCK = 256
 _FACTORS = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 
 
@@ -139,51 +139,96 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long").distinct()
 
 
-def _apart(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a bucket that different components hold and whose bitmaps are near.
-
-    members: (bucket, n, node, bits, component). A bucket of more than BLOCK members is cut into blocks, and each pair
-    of blocks is a group of its own.
+def _held(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Whole groups of rows that are sorted by their keys."""
+    open_: list[pa.RecordBatch] = []  # rows of the group that may go on in the next batch
+    for batch in batches:
+        columns = [batch.column(c).to_numpy() for c in keys]
+        cuts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in columns], axis=0)) + 1
+        for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+            part = batch.slice(start, end - start)
+            if open_ and any(open_[-1].column(c)[0] != part.column(c)[0] for c in keys):
+                yield pa.Table.from_batches(open_)
+                open_ = []
+            if part.num_rows:
+                open_.append(part)
+    if open_:
+        yield pa.Table.from_batches(open_)
+
+
+def _links_in(table: pa.Table, width: int) -> list[tuple[int, int]]:
+    """Links between components in one group: rows that are `few` against all rows of the group's column."""
+    few, many, node, component = (table.column(c).to_numpy() for c in ("is_few", "is_many", "node", "component"))
+    bits = table.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
+    left, right = np.flatnonzero(few), np.flatnonzero(many)
+    sets: list[np.ndarray] = []
+    above = {int(c): int(c) for c in component}
+
+    def top(c: int) -> int:
+        while above[c] != c:
+            c = above[c]
+        return c
+
+    links = []
+    for i in left:
+        own = top(int(component[i]))
+        now = np.array([top(int(c)) for c in component[right]])
+        other = right[now != own]
+        other = other[np.bitwise_count(bits[other] ^ bits[i]).sum(1) <= MOST_DIFFERING_BITS]
+        if not len(other):
+            continue
+        if not sets:
+            found, counts = shingles(*utf8(table.column("text").combine_chunks()), width)
+            sets = np.split(found, np.cumsum(counts)[:-1])
+        sizes = np.array([len(sets[j]) for j in other])
+        inside = np.isin(np.concatenate([sets[j] for j in other]), sets[i])
+        both = np.add.reduceat(inside, np.cumsum(sizes) - sizes)
+        for j in other[100 * both >= SIMILAR * (sizes + len(sets[i]) - both)]:
+            to = top(int(component[j]))
+            if to != own:
+                links.append((int(node[i]), int(node[j])))
+                above[max(to, own)] = own = min(to, own)
+    return links
+
+
+def _across(members: DataFrame, texts: DataFrame, bits: DataFrame, width: int) -> DataFrame:
+    """Links (a, b) between members of a bucket that are in different components. members: (bucket, node, component).
+
+    Buckets with the same members are one. The members outside a bucket's largest component are its few; they are
+    compared with all, in groups of a block of the few and a block of all, so pairs inside the largest component are
+    never looked at. A group confirms its links on full sets and returns no more of them than it joins components.
     """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "component", "bits")
-    dealt = dealt.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "node")
-
-    def pairs(rows: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        low, high, own, node, component = (rows.column(c).to_numpy() for c in ("low", "high", "own", "node", "component"))
-        bits = rows.column("bits").combine_chunks()
-        bits = bits.flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
-        right = np.flatnonzero(own == high[0])
-        for i in np.flatnonzero(own == low[0]):
-            other = right[component[right] != component[i]]
-            if low[0] == high[0]:
-                other = other[node[other] > node[i]]
-            near = np.bitwise_count(bits[other] ^ bits[i]).sum(1) <= MOST_DIFFERING_BITS
-            yield np.full(near.sum(), node[i]), node[other[near]]
+    alike = members.groupBy("bucket").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"),
+        F.sum(F.xxhash64("node") % 1_000_000_007).alias("sum"), F.bit_xor(F.xxhash64("node")).alias("mixed"),
+    ).where("low <> high").groupBy("n", "sum", "mixed").agg(F.min("bucket").alias("bucket"))
+    parts = members.join(alike.select("bucket", "n"), "bucket")
+    largest = parts.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket").agg(
+        F.max(F.struct("k", "component")).alias("top")
+    ).select("bucket", F.col("top.k").alias("k"), F.col("top.component").alias("largest"))
+    placed = parts.join(largest, "bucket")
+    columns = F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = F.ceil((F.col("n") - F.col("k")) / BLOCK).cast("int")
+    few = F.col("component") != F.col("largest")
+    row, column = F.pmod(F.xxhash64("node", F.lit(1)), rows).cast("int"), F.pmod(F.xxhash64("node"), columns).cast("int")
+    place = lambda r, c: F.struct(r.alias("row"), c.alias("column"))
+    as_many = F.transform(F.sequence(F.lit(0), rows - 1), lambda r: place(r, column))
+    as_few = F.when(few, F.transform(F.sequence(F.lit(0), columns - 1), lambda c: place(row, c))).otherwise(F.array().cast("array<struct<row:int,column:int>>"))
+    dealt = placed.select("bucket", "node", "component", few.alias("few"), row.alias("own_row"), column.alias("own_column"), F.explode(F.array_union(as_many, as_few)).alias("at"))
+    dealt = dealt.select(
+        "bucket", "at.row", "at.column", "node", "component", (F.col("few") & (F.col("at.row") == F.col("own_row"))).alias("is_few"),
+        (F.col("at.column") == F.col("own_column")).alias("is_many"),
+    )
+    key = ["bucket", "row", "column"]
+    whole = dealt.join(bits, "node").join(texts, "node").select(*key, "node", "component", "is_few", "is_many", "bits", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            for a, b in pairs(table):
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-        open_: list[pa.RecordBatch] = []  # rows of the group that may go on in the next batch
-        for batch in batches:
-            keys = [batch.column(c).to_numpy() for c in ("bucket", "low", "high")]
-            cuts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
-            for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
-                part = batch.slice(start, end - start)
-                if open_ and any(open_[-1].column(c)[0] != part.column(c)[0] for c in ("bucket", "low", "high")):
-                    yield from out(pa.Table.from_batches(open_))
-                    open_ = []
-                if part.num_rows:
-                    open_.append(part)
-        if open_:
-            yield from out(pa.Table.from_batches(open_))
-
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+        for table in _held(batches, key):
+            links = _links_in(table, width)
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links)], ["a", "b"])
+
+    return whole.repartition(*key).sortWithinPartitions(*key, "node").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_groups(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -211,10 +256,8 @@ def near_groups(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     # Rows that share an id are one document, whatever sets they have.
     joined = materialize(components(links), "joined")
     label = F.coalesce("component", F.col("node")).alias("component")
-    labelled = shared.select("bucket", "n", "node").join(joined, "node", "left").select("bucket", "n", "node", label)
-    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    open_ = labelled.join(mixed.select("bucket"), "bucket", "left_semi").join(bits, "node")
-    more = _confirmed(materialize(_apart(open_), "apart"), texts, width)
+    labelled = shared.select("bucket", "node").join(joined, "node", "left").select("bucket", "node", label)
+    more = _across(labelled, texts, bits, width)
     final = materialize(components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "components")
     by_set = nodes.select(*sets, "node").join(final, "node", "left").select(*sets, label)
     by_set = by_set.groupBy(*sets).agg(F.min("component").alias("component"))
