@@ -33,9 +33,9 @@ K = 20
 SAMPLE = 20_000  # vectors that centroids are fitted on
 ROUNDS = 8
 PROBED = 0.8
-COLUMNS = 16  # in a block
+FIRST_COLUMNS, COLUMNS = 32, 16  # of the first block, which is one matrix product, and of the others
 CERTAINTY = 3.0  # deviations by which a partial distance must exceed its expectation
-CANDIDATES, QUERIES_AT_ONCE = 4096, 512
+CANDIDATES, QUERIES_AT_ONCE = 4096, 1024
 SEED = 11
 
 
@@ -93,13 +93,15 @@ def _scan(pairs: pa.Table, targets: pa.Table, k: int, longest: float) -> pa.Tabl
     size = x.shape[1] + 1
     turn = rotation(size)
     far, near = _even(x, longest) @ turn, np.column_stack([q, np.zeros(len(q))]) @ turn
-    blocks = [slice(i, min(i + COLUMNS, size)) for i in range(0, size, COLUMNS)]
+    edges = [0, *range(min(FIRST_COLUMNS, size), size, COLUMNS), size]
+    blocks = [slice(a, b) for a, b in zip(edges, edges[1:]) if a < b]
     a, b = near[:, blocks[0]], far[:, blocks[0]]
     first = np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T, 0.0)
 
     def bound(read: int) -> np.ndarray:
-        slack = 0.0 if read == size else CERTAINTY / read**0.5
-        return (1 + slack) ** 2 * read / size * limit * (1 + 1e-9) + 1e-12
+        # After a random rotation, `read` of `size` columns hold read/size of a distance, with this relative deviation.
+        deviation = (2 * (size - read) / (read * (size + 2))) ** 0.5
+        return (1 + CERTAINTY * deviation) * read / size * limit * (1 + 1e-9) + 1e-12
 
     i, j = np.nonzero((first <= bound(blocks[0].stop)[:, None]) & (query_ids[:, None] != ids))
     partial = first[i, j]
