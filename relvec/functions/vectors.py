@@ -33,6 +33,17 @@ def quantize(vector: str | Column, scale: float = 1.0) -> Column:
     return F.transform(_col(vector), one)
 
 
+def hashed(text: str | Column, dim: int) -> Column:
+    """Stand-in for a model's vector: signed bytes of the SHA-256 of the text and a block number, 32 components a block."""
+    blocks = [F.unhex(F.sha2(F.concat(_col(text), F.lit(f":{b}")), 256)) for b in range(-(-dim // 32))]
+    digits = F.hex(F.concat(*blocks) if len(blocks) > 1 else blocks[0])
+
+    def one(i: Column) -> Column:
+        return (F.conv(F.substring(digits, 2 * i + 1, F.lit(2)), 16, 10).cast("int") - 128).cast("tinyint")
+
+    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), one)
+
+
 def wrap_int8(vector: str | Column) -> Column:
     """Whole-number vector to int8 with two's-complement wrap-around."""
 

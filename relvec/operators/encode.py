@@ -10,7 +10,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from relvec.functions.vectors import quantize
 from relvec.operators.text_dictionary import pending
 from relvec.schema import STORE_SCHEMA
 from relvec.session import shuffle_partitions
@@ -23,36 +25,34 @@ class Encoder(Protocol):
 
 
 class HashEncoder:
-    """Reproducible stand-in for a model: a text hash seeds the generator of its vector."""
+    """Reproducible stand-in for a model, for tests of the protocol; the numbers are those of `vectors.hashed`."""
 
     def __init__(self, dim: int):
         self.dim = dim
 
-    def _one(self, text: str) -> np.ndarray:
-        seed = int.from_bytes(hashlib.blake2b(text.encode("utf-8"), digest_size=8).digest(), "little")
-        return np.random.default_rng(seed).integers(-127, 128, size=self.dim, dtype=np.int16)
-
     def encode(self, texts: Sequence[str]) -> np.ndarray:
-        return np.stack([self._one(t) for t in texts]).astype(np.int8)
+        blocks = range(-(-self.dim // 32))
+        joined = b"".join(hashlib.sha256(f"{t}:{b}".encode()).digest() for t in texts for b in blocks)
+        unsigned = np.frombuffer(joined, np.uint8).reshape(len(texts), -1)[:, : self.dim]
+        return (unsigned.astype(np.int16) - 128).astype(np.int8)
 
 
-def to_int8(matrix: np.ndarray, rows: int, dim: int) -> np.ndarray:
-    """Check the shape; floats round half to even and clip, whole numbers wrap."""
+def checked(matrix: np.ndarray, rows: int, dim: int) -> np.ndarray:
+    """The encoder's matrix as doubles, if it has the right shape; how doubles become bytes is one rule, in Spark."""
     matrix = np.asarray(matrix)
     if matrix.shape != (rows, dim):
         raise ValueError(f"encoder returned shape {matrix.shape}, expected {(rows, dim)}")
-    if matrix.dtype == np.int8:
-        return matrix
-    if np.issubdtype(matrix.dtype, np.floating):
-        return np.clip(np.rint(matrix), -128, 127).astype(np.int8)
-    return matrix.astype(np.int8)
+    return matrix.astype(np.float64)
 
 
 def encode_texts(
     texts: DataFrame, make_encoder: Callable[[], Encoder], dim: int, batch_size: int = 64
 ) -> DataFrame:
-    """Add `embedding` to a table with a `text` column; the encoder is built once per task."""
-    out_schema = texts.drop("text").schema.add("embedding", STORE_SCHEMA["embedding"].dataType)
+    """Add `embedding` to a table with a `text` column; the encoder is built once per task.
+
+    What the encoder returns is rounded to whole numbers and clipped to a signed byte.
+    """
+    out_schema = T.StructType([*texts.drop("text").schema.fields, T.StructField("embedding", T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = make_encoder()
@@ -60,7 +60,7 @@ def encode_texts(
             for start in range(0, batch.num_rows, batch_size):
                 piece = batch.slice(start, batch_size)
                 values = piece.column(piece.schema.get_field_index("text")).to_pylist()
-                vectors = to_int8(encoder.encode(values), len(values), dim)
+                vectors = checked(encoder.encode(values), len(values), dim)
                 offsets = pa.array(np.arange(0, (len(values) + 1) * dim, dim, dtype=np.int32))
                 lists = pa.ListArray.from_arrays(offsets, pa.array(vectors.ravel()))
                 names = [n for n in piece.schema.names if n != "text"]
@@ -68,7 +68,7 @@ def encode_texts(
                     [piece.column(piece.schema.get_field_index(n)) for n in names] + [lists], names + ["embedding"]
                 )
 
-    return texts.mapInArrow(run, out_schema)
+    return texts.mapInArrow(run, out_schema).withColumn("embedding", quantize("embedding"))
 
 
 def encode_dictionary(

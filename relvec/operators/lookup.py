@@ -8,13 +8,14 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relvec.session import shuffle_partitions
+from relvec.session import materialize, shuffle_partitions
 
-HOT_KEYS_MIN, HOT_KEYS_MAX = 64, 4096
+SLOTS_PER_PARTITION = 4
 
 
 def hot_slots(df: DataFrame) -> int:
-    return min(max(shuffle_partitions(df.sparkSession), HOT_KEYS_MIN), HOT_KEYS_MAX)
+    """A key is hot if it holds more than a quarter of what a shuffle partition holds on average."""
+    return SLOTS_PER_PARTITION * shuffle_partitions(df.sparkSession)
 
 
 class Usage(NamedTuple):
@@ -88,6 +89,13 @@ def lookup(
     return out.select(*rows.columns, *[F.col(f"_found.{p}").alias(p) for p in payload])
 
 
+def lookup_measured(rows: DataFrame, table: DataFrame, key: str, payload: Sequence[str]) -> DataFrame:
+    """Left lookup whose hot keys are counted on the very rows that are joined, by one aggregate over the key."""
+    counted = rows.groupBy(F.col(key)).agg(F.count(F.lit(1)).alias("_uses"))
+    entries = materialize(table.join(counted, key).withColumn("_all", F.lit("all")), "counted")
+    return lookup(rows, entries, key, payload, "_uses", usage(entries, "_uses", "_all").get("all"))
+
+
 def _scatter(rows: DataFrame, key: str) -> Column:
     """Keys that match no entry, spread by the content of the row, so a repeated task makes the same ones."""
     short = ("int", "bigint", "tinyint", "smallint", "timestamp", "timestamp_ntz", "date", "double")

@@ -1,8 +1,7 @@
 """Ordered operators without a task that sees a whole group.
 
 `dense_ids` numbers the rows of a group in order; `running_sums` accumulates over ordered scores. Both split a group
-into ranges, work inside each range, and add the totals of the earlier ranges. The table of totals has one row per
-range and group, so its size is fixed by the number of ranges, not by the data; only that table is broadcast.
+into ranges, work inside each range, and add the totals of the earlier ranges.
 """
 
 from __future__ import annotations
@@ -20,18 +19,15 @@ _ROWS_PER_PARTITION_BITS = 33  # layout of monotonically_increasing_id
 
 
 def dense_ids(
-    df: DataFrame, group: Sequence[str], order: Sequence[Column], id_column: str, range_by: Sequence[Column] | None = None
+    df: DataFrame, group: Sequence[str], order: Sequence[Column], id_column: str
 ) -> DataFrame:
-    """Zero-based position of each row inside its group. `group` + `order` must identify a row.
-
-    `range_by` may name shorter keys that sort the same way, such as text prefixes: range bounds are sampled keys that
-    reach the driver, so long ones should not be sampled whole. Rows with equal range keys share a range.
+    """Zero-based position of each row inside its group. `group` + `order` must identify a row and should be short:
+    range bounds are sampled keys that reach the driver.
     """
     keys = [F.col(g) for g in group] + list(order)
-    ranges = [F.col(g) for g in group] + list(order if range_by is None else range_by)
     parts = shuffle_partitions(df.sparkSession)
     placed = (
-        df.repartitionByRange(parts, *ranges)
+        df.repartitionByRange(parts, *keys)
         .sortWithinPartitions(*keys)
         .withColumn("_at", F.monotonically_increasing_id())
     )
@@ -42,14 +38,13 @@ def dense_ids(
     offsets = ranges.select(
         *group, "_range", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift")
     )
-    joined = placed.join(F.broadcast(offsets), [*group, "_range"])
+    joined = placed.join(offsets, [*group, "_range"])
     return joined.select(
         *[c for c in df.columns if c != id_column], (F.col("_at") + F.col("_shift")).alias(id_column)
     )
 
 
 ROWS_PER_WINDOW = 1_000_000  # rows one window task is meant to sort
-MAX_BUCKETS = 4096
 
 
 def _with_bucket(points: DataFrame, score: str, buckets: int) -> DataFrame:
@@ -57,13 +52,9 @@ def _with_bucket(points: DataFrame, score: str, buckets: int) -> DataFrame:
 
     The edges only balance the work. They are at most `buckets` numbers, and any edges give the same sums.
     """
-    if buckets == 1:
-        return points.withColumn("_bucket", F.lit(0.0))
-    shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets + 1)])
     edges = points.agg(F.percentile_approx(score, shares, 8 * buckets)).first()[0] or []
-    splits = [float("-inf"), *sorted({float(e) for e in edges}), float("inf")]
-    if len(splits) < 3:
-        return points.withColumn("_bucket", F.lit(0.0))
+    splits = [float("-inf"), *sorted({float(e) for e in edges if e == e} or {0.0}), float("inf")]
     return Bucketizer(splits=splits, inputCol=score, outputCol="_bucket", handleInvalid="keep").transform(points)
 
 
@@ -83,21 +74,18 @@ def running_sums(
     """
     group = list(group)
     points = points if stored else materialize(points, "points")
-    buckets = min(max(-(-points.count() // rows_per_window), 1), MAX_BUCKETS)
+    buckets = points.count() // rows_per_window + 1
     bucketed = _with_bucket(points, score, buckets)
     score_order = F.desc(score) if descending else F.asc(score)
     inside = W.partitionBy(*group, "_bucket").orderBy(score_order).rowsBetween(W.unboundedPreceding, W.currentRow)
     local = bucketed.select("*", *[F.sum(v).over(inside).alias(f"cum_{v}") for v in values])
-    if buckets == 1:
-        return local.drop("_bucket")
     totals = bucketed.groupBy(*group, "_bucket").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
     bucket_order = F.desc("_bucket") if descending else F.asc("_bucket")
     earlier = W.partitionBy(*group).orderBy(bucket_order).rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(
         *group, "_bucket", *[F.coalesce(F.sum(f"_t_{v}").over(earlier), F.lit(0)).alias(f"_o_{v}") for v in values]
     )
-    # At most `buckets` rows per group, and a group is an evaluation or one of its classes.
-    joined = local.join(F.broadcast(offsets), [*group, "_bucket"])
+    joined = local.join(offsets, [*group, "_bucket"])
     return joined.select(
         *points.columns, *[(F.col(f"cum_{v}") + F.col(f"_o_{v}")).alias(f"cum_{v}") for v in values]
     )

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from relvec.functions.scalars import time_features
+from relvec.operators.lookup import lookup_measured
 from relvec.operators.ordered import dense_ids
 from relvec.schema import present, require_columns
+from relvec.session import materialize
 
 MISSING = "__missing__"
-MAX_FLAT_COLUMNS = 5000
 
 
 def metadata(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -66,18 +67,19 @@ def categories(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(F.inline(pairs)).distinct()
 
 
-def one_hot(df: DataFrame, keep: Sequence[str] = ("split",), limit: int = MAX_FLAT_COLUMNS) -> DataFrame:
+def one_hot(df: DataFrame, keep: Sequence[str] = ("split",), values: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """Flat 0/1 columns `<column>_<value>` shared by all splits: other columns first, then sorted categories.
 
-    Flat columns suit few categories; beyond `limit` use `one_hot_indices`, which loses nothing.
+    A flat table has a column per category, so its categories are part of its schema. They are found by a distinct
+    over all splits unless `values` lists them; `one_hot_indices` is the form whose schema doesn't grow.
     """
     names = categorical_columns(df, keep)
     if not names:
         return df
-    found = categories(df, names).limit(limit + 1).collect()
-    if len(found) > limit:
-        raise ValueError(f"more than {limit} categories: use one_hot_indices")
-    values = {c: sorted(r["value"] for r in found if r["column"] == c) for c in names}
+    if values is None:
+        found = categories(df, names).collect()
+        values = {c: [r["value"] for r in found if r["column"] == c] for c in names}
+    values = {c: sorted(values.get(c, ())) for c in names}
     numeric = [c for c in df.columns if c not in names and c not in keep]
     flags = [
         F.when(_category(df, c) == v, 1.0).otherwise(0.0).alias(f"{c}_{v}") for c in names for v in values[c]
@@ -91,8 +93,11 @@ def one_hot_indices(df: DataFrame, key: Sequence[str], keep: Sequence[str] = ("s
     index = dense_ids(
         categories(df, names).withColumn("all", F.lit(0)), ["all"], [F.asc("column"), F.asc("value")], "index"
     ).drop("all")
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), _category(df, c).alias("value")) for c in names])
-    active = df.select(*key, F.inline(pairs)).join(index, ["column", "value"]).groupBy(*key).agg(
-        F.array_sort(F.collect_list("index")).alias("active")
-    )  # one index per categorical column of a row
-    return active, index
+    index = materialize(index, "categories")
+    # One lookup per categorical column; a value that many rows hold is found before the shuffle.
+    rows = df.select(*key, *[_category(df, c).alias(f"_v_{c}") for c in names])
+    for c in names:
+        entries = index.where(F.col("column") == c).select(F.col("value").alias(f"_v_{c}"), F.col("index").alias(f"_i_{c}"))
+        rows = lookup_measured(rows, entries, f"_v_{c}", [f"_i_{c}"])
+    active = F.array_sort(F.array(*[F.col(f"_i_{c}") for c in names]))
+    return rows.select(*key, active.alias("active")), index

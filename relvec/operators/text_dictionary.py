@@ -11,10 +11,7 @@ from relvec.functions.scalars import text_key, text_or_empty
 from relvec.operators.lookup import lookup, usage
 from relvec.operators.ordered import dense_ids
 from relvec.schema import ROLE_ID, ROLE_TEXT, ROLES, require_columns
-
-
-RANGE_PREFIX = 256  # characters of a text that take part in sampled range bounds
-
+from relvec.session import materialize
 
 def role_texts(interactions: DataFrame, roles: Sequence[str] = ROLES) -> DataFrame:
     """One row per interaction and role, from a single scan. A NULL text counts as the empty text."""
@@ -33,14 +30,16 @@ def text_counts(interactions: DataFrame, roles: Sequence[str] = ROLES) -> DataFr
 def text_dictionary(interactions: DataFrame, roles: Sequence[str] = ROLES) -> DataFrame:
     """`role, text, source_count, text_id, text_key`: ids from 0 per role, most frequent text first.
 
-    Ties follow the binary order of the text, so ids do not depend on partitioning.
+    Ties follow the hash of the text, so ids do not depend on partitioning and texts that begin alike are spread. Only
+    narrow rows (role, hash, count) are numbered; texts come back by key.
     """
-    counted = text_counts(interactions, roles)
+    counted = materialize(text_counts(interactions, roles).withColumn("text_key", text_key("text")), "texts")
     numbered = dense_ids(
-        counted, ["role"], [F.desc("source_count"), F.asc("text")], "text_id",
-        range_by=[F.desc("source_count"), F.substring("text", 1, RANGE_PREFIX).asc()],
+        counted.drop("text"), ["role"], [F.desc("source_count"), F.asc("text_key")], "text_id",
+    )
+    return counted.select("role", "text", "text_key").join(numbered, ["role", "text_key"]).select(
+        "role", "text", "source_count", "text_id", "text_key"
     )
-    return numbered.withColumn("text_key", text_key("text"))
 
 
 def with_text_keys(interactions: DataFrame, roles: Sequence[str] = ROLES) -> DataFrame:

@@ -41,7 +41,7 @@ SELECT 'query' AS role, coalesce(query_text, '') AS text, split FROM interaction
 UNION ALL SELECT 'user', coalesce(user_profile_text, ''), split FROM interactions
 UNION ALL SELECT 'candidate', coalesce(candidate_text, ''), split FROM interactions""",
     "dictionary": """
-SELECT role, text, source_count, row_number() OVER (PARTITION BY role ORDER BY source_count DESC, text) - 1 AS text_id
+SELECT role, text, source_count, row_number() OVER (PARTITION BY role ORDER BY source_count DESC, sha256(text)) - 1 AS text_id
 FROM (SELECT role, text, count(*) AS source_count FROM role_texts GROUP BY role, text) counted""",
     "vectors": """
 SELECT vec_id, list_transform(embedding, lambda x: CAST(greatest(-128.0, least(127.0, round_even(CAST(x AS DOUBLE) * 127.0, 0))) AS TINYINT)) AS v
@@ -52,19 +52,20 @@ FROM dictionary d
 JOIN vectors x ON x.vec_id = (CASE d.role WHEN 'query' THEN d.text_id WHEN 'user' THEN d.text_id * 7 + 3 ELSE d.text_id * 13 + 5 END)
                              % (SELECT count(*) FROM embeddings)""",
     "with_ids": """
-SELECT i.*, q.text_id AS query_text_id, u.text_id AS user_text_id, c.text_id AS candidate_text_id
+SELECT i.event_id, i.user_id, i.search_id, i.profil_id, i.split, i.label, i.user_profile_text = 'coldstart' AS cold,
+       q.text_id AS query_text_id, u.text_id AS user_text_id, c.text_id AS candidate_text_id
 FROM interactions i
 JOIN dictionary q ON q.role = 'query' AND q.text = coalesce(i.query_text, '')
 JOIN dictionary u ON u.role = 'user' AND u.text = coalesce(i.user_profile_text, '')
 JOIN dictionary c ON c.role = 'candidate' AND c.text = coalesce(i.candidate_text, '')""",
     "with_vectors": """
-SELECT w.*, q.v AS qv, u.v AS uv, c.v AS cv, w.user_profile_text = 'coldstart' AS cold
+SELECT w.event_id, w.cold, q.v AS qv, u.v AS uv, c.v AS cv
 FROM with_ids w
 JOIN store q ON q.role = 'query' AND q.text_id = w.query_text_id
 JOIN store u ON u.role = 'user' AND u.text_id = w.user_text_id
 JOIN store c ON c.role = 'candidate' AND c.text_id = w.candidate_text_id""",
     "dots": """
-SELECT w.*, d.dim,
+SELECT w.event_id, w.cold, d.dim,
        list_dot_product(CAST(qv[1:d.dim] AS DOUBLE[]), CAST(qv[1:d.dim] AS DOUBLE[])) AS qq,
        list_dot_product(CAST(uv[1:d.dim] AS DOUBLE[]), CAST(uv[1:d.dim] AS DOUBLE[])) AS uu,
        list_dot_product(CAST(cv[1:d.dim] AS DOUBLE[]), CAST(cv[1:d.dim] AS DOUBLE[])) AS cc,
@@ -73,7 +74,7 @@ SELECT w.*, d.dim,
        list_dot_product(CAST(qv[1:d.dim] AS DOUBLE[]), CAST(uv[1:d.dim] AS DOUBLE[])) AS qu
 FROM with_vectors w CROSS JOIN (SELECT unnest([16, 32, 64]) AS dim) d""",
     "plain_cosines": """
-SELECT *, CASE WHEN qq = 0 OR cc = 0 THEN 0 ELSE qc / (sqrt(qq) * sqrt(cc)) END AS qc_cos,
+SELECT event_id, dim, cold, qq, uu, CASE WHEN qq = 0 OR cc = 0 THEN 0 ELSE qc / (sqrt(qq) * sqrt(cc)) END AS qc_cos,
        CASE WHEN uu = 0 OR cc = 0 THEN 0 ELSE uc / (sqrt(uu) * sqrt(cc)) END AS uc_cos,
        CASE WHEN qq = 0 OR uu = 0 THEN 0 ELSE qu / (sqrt(qq) * sqrt(uu)) END AS qu_cos
 FROM dots""",
@@ -159,6 +160,9 @@ FROM scored WHERE user_id % 24 <> 5"""
 _WEIGHTED_EV = "SELECT split AS g, label_id AS y, predicted_id AS p, probs, loss, label_weight AS w FROM scored"
 
 
+_STORED = {"interactions", "dictionary", "vectors", "store", "with_ids"}  # computed once, however often they are used
+
+
 def _sql(body: str, **replaced: str) -> str:
     table = {**_WITH, **replaced}
     needed: list[str] = []
@@ -171,7 +175,7 @@ def _sql(body: str, **replaced: str) -> str:
                     needed.append(name)
 
     visit(body)
-    head = ", ".join(f"{n} AS ({table[n].strip()})" for n in needed)
+    head = ", ".join(f"{n} AS {'MATERIALIZED ' * (n in _STORED)}({table[n].strip()})" for n in needed)
     return f"WITH {head} {body.strip()}" if head else body.strip()
 
 
@@ -183,21 +187,27 @@ def _text(vector: str) -> str:
     return f"array_to_string(list_transform({vector}, lambda x: CAST(x AS VARCHAR)), ',')"
 
 
+_FEATURE_COLUMNS = ",\n".join(
+    f"max(CASE WHEN c.dim = {d} THEN round(c.{k}, 6) END) AS {k}_cosine_{d}" for d in _DIMS for k in ("qc", "uc", "qu", "quc")
+)
+
 _add("split_scan_counts", """
 SELECT split, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS event_sum, CAST(sum(length(candidate_text)) AS BIGINT) AS chars
 FROM interactions GROUP BY split""")
 _add("feature_split_roundtrip", """
-SELECT c.event_id, w.split, w.query_text_id, w.user_text_id, w.candidate_text_id, round(c.quc, 6) AS quc_cosine_64
-FROM cosines c JOIN with_ids w ON w.event_id = c.event_id WHERE c.dim = 64 AND w.split <> 'train'""")
+SELECT w.event_id, w.split, w.query_text_id, w.user_text_id, w.candidate_text_id, @FEATURES@
+FROM with_ids w JOIN cosines c ON c.event_id = w.event_id GROUP BY 1, 2, 3, 4, 5""".replace("@FEATURES@", _FEATURE_COLUMNS))
 _add("store_roundtrip", f"SELECT role, text_id, source_count, {_text('v')} AS embedding FROM store")
 _add("metrics_wide", """
 SELECT g AS split, CAST("count" AS DOUBLE) AS "count", CAST(num_classes AS DOUBLE) AS num_classes, logloss, accuracy, balanced_accuracy,
        precision_macro, recall_macro, f1_macro, f1_weighted, roc_auc_ovr_macro, pr_auc_ovr_macro FROM metrics""")
+_METRICS = ("count", "num_classes", "logloss", "accuracy", "balanced_accuracy", "precision_macro", "recall_macro", "f1_macro",
+            "f1_weighted", "roc_auc_ovr_macro", "pr_auc_ovr_macro")
 _add("run_metrics_flat", """
 SELECT split_part(g, '/', 1) AS run,
 """ + ",\n".join(
     f"""max(CASE WHEN split_part(g, '/', 2) = '{s}' THEN CAST({'"count"' if m == 'count' else m} AS DOUBLE) END) AS {s}_{m}"""
-    for s in ("train", "valid", "test") for m in ("count", "accuracy", "f1_macro")
+    for s in ("train", "valid", "test") for m in _METRICS
 ) + " FROM metrics GROUP BY 1", ev=_RUN_EV)
 _add("run_metadata", """
 SELECT run, 64 AS embedding_prefix_dim, split, CAST(cold_rows AS BIGINT) AS cold_rows
@@ -211,10 +221,10 @@ _add("all_role_texts", "SELECT role, text, source_count FROM dictionary")
 _add("role_ids_joined", "SELECT event_id, split, query_text_id, user_text_id, candidate_text_id FROM with_ids")
 _add("pending_texts", """
 SELECT role, text_id, sha256(text) AS text_key, source_count FROM dictionary d
-WHERE NOT EXISTS (SELECT 1 FROM role_texts t WHERE t.split = 'train' AND t.role = d.role AND t.text = d.text)""")
+WHERE NOT EXISTS (SELECT 1 FROM role_texts t WHERE t.split = 'valid' AND t.role = d.role AND t.text = d.text)""")
 _add("progress", """
 SELECT d.role, count(t.text) AS completed, count(*) AS total, round(count(t.text)::DOUBLE / count(*), 6) AS fraction
-FROM dictionary d LEFT JOIN (SELECT DISTINCT role, text FROM role_texts WHERE split = 'train') t
+FROM dictionary d LEFT JOIN (SELECT DISTINCT role, text FROM role_texts WHERE split = 'valid') t
   ON t.role = d.role AND t.text = d.text GROUP BY d.role""")
 _add("quantized_vectors", f"SELECT vec_id, {_text('v')} AS embedding FROM vectors")
 _add("prefix_slices", f"""
@@ -227,12 +237,9 @@ FROM (SELECT vec_id, v, sqrt(list_dot_product(CAST(v AS DOUBLE[]), CAST(v AS DOU
 _add("scaled_inputs", """
 SELECT vec_id, CAST(i - 1 AS INTEGER) AS position, round(v[i] / 127.0::DOUBLE, 6) AS x
 FROM (SELECT vec_id, v, unnest(range(1, len(v) + 1)) AS i FROM vectors) e""")
-_FEATURE_COLUMNS = ",\n".join(
-    f"max(CASE WHEN c.dim = {d} THEN round(c.{k}, 6) END) AS {k}_cosine_{d}" for d in _DIMS for k in ("qc", "uc", "qu", "quc")
-)
 _add("prefix_cosine_features", f"""
 SELECT w.event_id, w.user_id, w.search_id, w.profil_id, w.split, w.label, w.query_text_id, w.user_text_id, w.candidate_text_id,
-       CAST(CASE WHEN w.user_profile_text = 'coldstart' THEN 0 ELSE 1 END AS TINYINT) AS embedding_user_available, {_FEATURE_COLUMNS}
+       CAST(CASE WHEN w.cold THEN 0 ELSE 1 END AS TINYINT) AS embedding_user_available, {_FEATURE_COLUMNS}
 FROM with_ids w JOIN cosines c ON c.event_id = w.event_id GROUP BY 1, 2, 3, 4, 5, 6, 7, 8, 9, 10""")
 for _kind in ("qc", "uc", "qu", "quc"):
     _add(f"cosine_{_kind}", f"SELECT event_id, dim, round({_kind}, 6) AS cosine FROM cosines")
@@ -241,10 +248,10 @@ _add("prefix_dots_arrow", "SELECT event_id, dim, " + ", ".join(
 _add("role_vectors_joined", f"""
 SELECT event_id, {_text('qv')} AS query_vector, {_text('uv')} AS user_vector, {_text('cv')} AS candidate_vector FROM with_vectors""")
 _add("zeroed_concat", f"""
-SELECT event_id, {_text("list_concat(qv[1:16], CASE WHEN cold THEN list_transform(range(16), lambda x: CAST(0 AS TINYINT)) ELSE uv[1:16] END, cv[1:16])")}
+SELECT event_id, {_text("list_concat(qv, CASE WHEN cold THEN list_transform(range(64), lambda x: CAST(0 AS TINYINT)) ELSE uv END, cv)")}
        AS features FROM with_vectors""")
 _add("named_vector_columns", "SELECT event_id, " + ", ".join(
-    f"{v}[{i + 1}] AS {r}_emb_{i:04d}" for r, v in (("query", "qv"), ("user", "uv"), ("candidate", "cv")) for i in range(4)
+    f"{v}[{i + 1}] AS {r}_emb_{i:04d}" for r, v in (("query", "qv"), ("user", "uv"), ("candidate", "cv")) for i in range(64)
 ) + " FROM with_vectors")
 _add("coldstart_flag", """
 SELECT event_id, CAST(CASE WHEN user_profile_text = 'coldstart' THEN 0 ELSE 1 END AS TINYINT) AS embedding_user_available FROM interactions""")
@@ -387,7 +394,9 @@ _ORDER = " ORDER BY valid_f1_macro DESC NULLS LAST, valid_balanced_accuracy DESC
 _add("run_ranking", _RANKED + _ORDER, ev=_RUN_EV)
 _add("best_run", f"SELECT experiment_name, valid_f1_macro FROM ({_RANKED}) r{_ORDER.replace(', valid_', ', valid_')} LIMIT 1", ev=_RUN_EV)
 _add("incremental_features", """
-SELECT c.event_id, w.split, w.query_text_id, w.user_text_id, w.candidate_text_id,
-       CAST(CASE WHEN w.user_profile_text = 'coldstart' THEN 0 ELSE 1 END AS TINYINT) AS embedding_user_available,
-       round(c.qc, 6) AS qc_cosine_64, round(c.uc, 6) AS uc_cosine_64, round(c.qu, 6) AS qu_cosine_64, round(c.quc, 6) AS quc_cosine_64
-FROM cosines c JOIN with_ids w ON w.event_id = c.event_id WHERE c.dim = 64""")
+SELECT w.event_id, w.split, w.query_text_id, w.user_text_id, w.candidate_text_id,
+       CAST(CASE WHEN w.cold THEN 0 ELSE 1 END AS TINYINT) AS embedding_user_available, @FEATURES@
+FROM with_ids w JOIN cosines c ON c.event_id = w.event_id GROUP BY 1, 2, 3, 4, 5, 6""".replace("@FEATURES@", _FEATURE_COLUMNS))
+_add("mock_embeddings", f"""
+SELECT role, text_id, {_text("list_transform(range(64), lambda i: CAST(('0x' || substr(sha256(text || ':' || CAST(i // 32 AS VARCHAR)), 2 * (i % 32) + 1, 2)) AS INTEGER) - 128)")} AS embedding
+FROM dictionary""")

@@ -20,7 +20,6 @@ from relvec.operators import metrics as M
 from relvec.operators import tabular as TB
 from relvec.operators import text_dictionary as TD
 from relvec.operators import weights as Wt
-from relvec.operators.encode import HashEncoder, encode_dictionary
 from relvec.plans import ablation
 from relvec.plans.training import TrainingConfig, prepare
 from relvec.schema import LABEL_ORDER, ROLE_TEXT, ROLES, SPLITS
@@ -47,6 +46,10 @@ def joined_text(vector: Column) -> Column:
     return F.array_join(F.transform(vector, lambda x: x.cast("string")), ",")
 
 
+def _rounded_cosines(df: DataFrame) -> list[Column]:
+    return [F.round(c, 6).alias(c) for c in df.columns if "_cosine_" in c]
+
+
 def no_text(df: DataFrame) -> DataFrame:
     return df.drop(*ROLE_TEXT.values())
 
@@ -76,9 +79,8 @@ def feature_split_roundtrip(spark, sf):
     rows, store = X.interactions_and_store(spark, sf)
     folder = scratch_path(spark, "features")
     tables.write_features(no_text(FE.cosine_features(rows, store, X.DIMS, once_per_triple=True)), folder)
-    back = tables.read_features(spark, folder, "valid").unionByName(tables.read_features(spark, folder, "test"))
-    return back.select("event_id", "split", "query_text_id", "user_text_id", "candidate_text_id",
-                       F.round("quc_cosine_64", 6).alias("quc_cosine_64"))
+    back = M.metric_union([tables.read_features(spark, folder, s) for s in SPLITS])
+    return back.select("event_id", "split", "query_text_id", "user_text_id", "candidate_text_id", *_rounded_cosines(back))
 
 
 @query("store_roundtrip")
@@ -104,7 +106,7 @@ def run_metrics_flat(spark, sf):
     folder = scratch_path(spark, "runs")
     records.write_metrics_json(X.run_metrics(spark, sf), folder)
     tall = records.read_metrics_json(spark, f"{folder}/*/*", r"run_dir=([^/]+)/")
-    return records.flatten_metrics(tall, ["count", "accuracy", "f1_macro"])
+    return records.flatten_metrics(tall, list(M.METRICS))
 
 
 @query("run_metadata")
@@ -164,10 +166,10 @@ def role_ids_joined(spark, sf):
 
 @query("pending_texts")
 def pending_texts(spark, sf):
-    """Texts of the held-out splits that embedding the training split would not have covered."""
+    """Texts that embedding the validation split alone leaves to do."""
     rows = X.interactions(spark, sf)
     everything = TD.text_dictionary(rows)
-    seen = TD.role_texts(rows.where(F.col("split") == "train")).distinct().withColumn("text_key", S.text_key("text"))
+    seen = TD.role_texts(rows.where(F.col("split") == "valid")).distinct().withColumn("text_key", S.text_key("text"))
     return TD.pending(everything, seen).select("role", "text_id", "text_key", "source_count")
 
 
@@ -175,7 +177,7 @@ def pending_texts(spark, sf):
 def progress(spark, sf):
     rows = X.interactions(spark, sf)
     everything = TD.text_counts(rows).withColumn("text_key", S.text_key("text"))
-    seen = TD.role_texts(rows.where(F.col("split") == "train")).distinct().withColumn("text_key", S.text_key("text"))
+    seen = TD.role_texts(rows.where(F.col("split") == "valid")).distinct().withColumn("text_key", S.text_key("text"))
     return TD.completion(everything, seen, ["role"], ["role", "text_key"])
 
 
@@ -265,13 +267,13 @@ def _vector_rows(spark, sf) -> DataFrame:
 @query("zeroed_concat")
 def zeroed_concat(spark, sf):
     rows = _vector_rows(spark, sf).withColumn("embedding_user_available", S.user_available())
-    return FE.feature_vector(rows, 16).select("event_id", joined_text(F.col("features_int8")).alias("features"))
+    return FE.feature_vector(rows, X.DIM).select("event_id", joined_text(F.col("features_int8")).alias("features"))
 
 
 @query("named_vector_columns")
 def named_vector_columns(spark, sf):
     rows = _vector_rows(spark, sf)
-    return rows.select("event_id", *[c for r in ROLES for c in V.named_columns(FE.VECTOR[r], r, 4)])
+    return rows.select("event_id", *[c for r in ROLES for c in V.named_columns(FE.VECTOR[r], r, X.DIM)])
 
 
 @query("coldstart_flag")
@@ -622,19 +624,19 @@ def incremental_features(spark, sf):
     stream.awaitTermination()
     out = incremental.read_stream_features(spark, f"{folder}/out")
     return out.select("event_id", "split", "query_text_id", "user_text_id", "candidate_text_id", "embedding_user_available",
-                      *[F.round(f"{k}_cosine_64", 6).alias(f"{k}_cosine_64") for k in ("qc", "uc", "qu", "quc")])
+                      *_rounded_cosines(out))
 
 
 @query("mock_embeddings")
 def mock_embeddings(spark, sf):
     dictionary = TD.text_dictionary(X.interactions(spark, sf))
-    store = encode_dictionary(dictionary, lambda: HashEncoder(X.DIM), X.DIM)
+    store = dictionary.withColumn("embedding", V.hashed("text", X.DIM))
     return store.select("role", "text_id", joined_text(F.col("embedding")).alias("embedding"))
 
 
 # ---- models ----
 
-MODEL_DIM = 16
+MODEL_DIM = X.DIM
 
 
 def _training_rows(spark, sf, config: TrainingConfig):
@@ -656,7 +658,7 @@ def _parts(data):
 def logreg_scores(spark, sf):
     data = _training_rows(spark, sf, TrainingConfig("lbfgs", MODEL_DIM, imbalance="balanced-sample-weight"))
     train, _ = _parts(data)
-    model = linear.train_logistic(linear.with_ml_vector(train), "effective_sample_weight", max_iter=15)
+    model = linear.train_logistic(linear.with_ml_vector(train), "effective_sample_weight", max_iter=100)
     return _scores(linear.score_logistic(model, linear.with_ml_vector(data.rows)))
 
 
@@ -664,17 +666,17 @@ def logreg_scores(spark, sf):
 def mlp_scores(spark, sf):
     data = _training_rows(spark, sf, TrainingConfig("mlp", MODEL_DIM))
     train, valid = _parts(data)
-    settings = network.mlp_settings(hidden=(32, 16), max_epochs=2, steps_per_epoch=4)
+    settings = network.mlp_settings(hidden=(64, 32), max_epochs=10)
     net, _ = network.train_network(train, valid, K, 3 * MODEL_DIM, settings, "effective_sample_weight")
     return _scores(net.score(data.rows))
 
 
 def _fit_trees(spark, sf):
     data = _training_rows(spark, sf, TrainingConfig("trees", MODEL_DIM))
-    ready = linear.with_ml_vector(data.rows.withColumn("_held", F.col("split") == "valid"), scale=False)
+    ready = linear.with_ml_vector(data.rows, scale=False)
     folder = scratch_path(spark, "trees")
-    settings = trees.TreeSettings(rounds=2, depth=3, learning_rate=0.3, max_bins=32)
-    known = ready.where(F.col("split") != "test")
+    settings = trees.TreeSettings(rounds=10, depth=4, learning_rate=0.3)
+    known = trees.with_held_out(ready, "effective_sample_weight")
     return trees.train_trees(known, K, settings, "effective_sample_weight", "_held", folder), ready, folder
 
 
@@ -694,7 +696,7 @@ def tree_importance(spark, sf):
 def feature_importance_topk(spark, sf):
     data = _training_rows(spark, sf, TrainingConfig("lbfgs", MODEL_DIM))
     train, _ = _parts(data)
-    model = linear.train_logistic(linear.with_ml_vector(train), "effective_sample_weight", max_iter=10)
+    model = linear.train_logistic(linear.with_ml_vector(train), "effective_sample_weight", max_iter=100)
     return linear.top_k(linear.weight_importance(
         spark, model.coefficientMatrix.toArray(), V.feature_names(MODEL_DIM), "mean_abs_logit_weight"
     ))
@@ -704,7 +706,7 @@ def feature_importance_topk(spark, sf):
 def training_history(spark, sf):
     data = _training_rows(spark, sf, TrainingConfig("logreg", MODEL_DIM))
     train, valid = _parts(data)
-    settings = network.logistic_settings(max_epochs=3, steps_per_epoch=2)
+    settings = network.logistic_settings(max_epochs=10)
     _, history = network.train_network(train, valid, K, 3 * MODEL_DIM, settings, "effective_sample_weight")
     return network.history_frame(spark, history)
 
@@ -716,7 +718,7 @@ def ablation_grid(spark, sf):
     stored = materialize(no_text(with_ids), "features")
     configs = ablation.grid(
         ["logreg", "mlp"], [MODEL_DIM], ["off", "balanced-sample-weight"],
-        [{"hidden": (16,), "dropout": 0.1}], {"max_epochs": 1, "steps_per_epoch": 1},
+        [{"hidden": (16,), "dropout": 0.1}], {"max_epochs": 4},
     )
     root = scratch_path(spark, "grid")
     manifest, run_records = ablation.run_grid(spark, stored, store, configs, root, parallel=2)

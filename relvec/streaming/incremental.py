@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,28 +12,35 @@ from pyspark.sql.streaming import StreamingQuery
 from relvec.operators.encode import Encoder, encode_dictionary
 from relvec.operators.features import cosine_features, store_usage
 from relvec.operators.text_dictionary import completion, pending
+from relvec.schema import require_unique
+from relvec.session import exists, materialize
 from relvec.sources.tables import read_store, write_store
 
 
+PROGRESS_COLUMNS = "slice int, texts long, finished long, total long"
+
+
 def _existing_store(spark: SparkSession, folder: str) -> DataFrame | None:
-    try:
-        store = read_store(spark, folder)
-        store.inputFiles()
-        return store
-    except AnalysisException:
-        return None
+    return require_unique(read_store(spark, folder), ["role", "text_key"], "store") if exists(spark, folder) else None
 
 
 def embed_pending(
-    spark: SparkSession, dictionary: DataFrame, folder: str, make_encoder: Callable[[], Encoder], dim: int
+    spark: SparkSession, dictionary: DataFrame, folder: str, make_encoder: Callable[[], Encoder], dim: int, slices: int = 8
 ) -> int:
-    """Append vectors for texts the store lacks; return how many there were. Nothing is written when none are."""
+    """Append vectors for texts the store lacks; return how many there were. Nothing is written when none are.
+
+    Texts are embedded in slices by a hash of their key, and each slice is committed before the next one starts, so a job
+    that dies loses one slice at most. What a slice wrote is added to the progress table beside the store.
+    """
     done = _existing_store(spark, folder)
-    todo = dictionary if done is None else pending(dictionary, done)
-    count = todo.count()
-    if count:
-        write_store(encode_dictionary(todo, make_encoder, dim), folder)
-    return count
+    todo = materialize(dictionary if done is None else pending(dictionary, done), "pending")
+    part = F.pmod(F.xxhash64("role", "text_key"), F.lit(slices))
+    sizes = {r["part"]: r["count"] for r in todo.groupBy(part.alias("part")).count().collect()}
+    for i in sorted(sizes):
+        write_store(encode_dictionary(todo.where(part == i), make_encoder, dim), folder)
+        written = [(int(i), sizes[i], sum(sizes[j] for j in sizes if j <= i), sum(sizes.values()))]
+        spark.createDataFrame(written, PROGRESS_COLUMNS).coalesce(1).write.mode("append").parquet(f"{folder}_progress")
+    return sum(sizes.values())
 
 
 def embedding_progress(spark: SparkSession, dictionary: DataFrame, folder: str) -> DataFrame:
@@ -65,7 +71,8 @@ def feature_stream(
     used = store_usage(store)
 
     def write_batch(rows: DataFrame, number: int) -> None:
-        features = cosine_features(rows, store, dims, used=used)
+        # Only hashes travel through the lookups; the wide rows move once.
+        features = cosine_features(rows, store, dims, used=used, once_per_triple=True)
         features.withColumn("_batch", F.lit(number)).write.partitionBy("_batch", "split").mode("overwrite").option(
             "partitionOverwriteMode", "dynamic"
         ).parquet(target)

@@ -62,7 +62,7 @@ def main() -> int:
 
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names = sys.argv[2:] or list(queries())
-    spark, con, sqls, failures = local_session("check"), connect(folder), oracle_sql(), 0
+    spark, con, sqls, failures = local_session("check", **{"spark.checkpoint.dir": os.environ.get("CHECKPOINT_DIR", "/tmp/checkpoints")}), connect(folder), oracle_sql(), 0
     for name in names:
         start = time.time()
         try:

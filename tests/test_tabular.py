@@ -32,12 +32,14 @@ def test_one_hot_shares_columns_over_splits(spark):
     assert rows == {1.5: (0, 0, 1, 0, 1, 0), 2.0: (1, 0, 0, 1, 0, 0), 3.0: (0, 1, 0, 0, 0, 1)}
 
 
-def test_one_hot_points_to_the_sparse_form(spark):
-    df = spark.createDataFrame([("train", str(i), i) for i in range(20)], "split string, c string, k int")
-    with pytest.raises(ValueError, match="one_hot_indices"):
-        T.one_hot(df, limit=10)
+def test_one_hot_of_many_categories_and_a_hot_one(spark):
+    df = spark.createDataFrame([("train", str(i) if i < 600 else None, i) for i in range(6000)], "split string, c string, k int")
+    assert len(T.one_hot(df).columns) == 2 + 601
+    assert T.one_hot(df, values={"c": ["7", "5"]}).columns == ["split", "k", "c_5", "c_7"]
     active, index = T.one_hot_indices(df, ["k"])
-    assert index.count() == 20 and active.where(F.size("active") == 1).count() == 20
+    assert index.count() == 601 and active.where(F.size("active") == 1).count() == 6000
+    hot = index.where("value = '__missing__'").first()["index"]
+    assert active.where(F.col("active")[0] == hot).count() == 5400
 
 
 def test_selection_and_separation(spark):

@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,10 +24,29 @@ def test_null_text_joins_the_empty_text(spark):
     assert ids == {0: 0, 1: 0, 2: 1}
 
 
-def test_ids_order_by_count_then_binary_text(spark):
+def test_ids_order_by_count_then_hash(spark):
     rows = rows_of(spark, [("b", "u", "c"), ("a", "u", "c"), ("Z", "u", "c"), ("n", "u", "c"), ("n", "u", "c")])
     ids = {r.text: r.text_id for r in TD.text_dictionary(rows, ["query"]).collect()}
-    assert ids == {"n": 0, "Z": 1, "a": 2, "b": 3}
+    rest = sorted("Zab", key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+    assert ids == {"n": 0, **{t: i + 1 for i, t in enumerate(rest)}}
+
+
+def test_texts_that_begin_alike_are_spread(spark, monkeypatch):
+    """Texts with one long header, each used once, still make ranges of like size."""
+    sizes = []
+    kept = ordered.materialize
+
+    def seen(df, name):
+        out = kept(df, name)
+        if name == "ordered":
+            sizes.extend(r["count"] for r in out.groupBy(F.shiftright("_at", 33)).count().collect())
+        return out
+
+    monkeypatch.setattr(ordered, "materialize", seen)
+    header = "x" * 400
+    rows = rows_of(spark, [(f"{header} {i}", "u", "c") for i in range(3000)])
+    assert TD.text_dictionary(rows, ["query"]).count() == 3000
+    assert len(sizes) == 3 and max(sizes) < 1.5 * 1000
 
 
 def test_dense_ids_over_many_ranges(spark):
@@ -88,19 +109,52 @@ def test_hash_encoder_golden_values():
     one = encode.HashEncoder(8)
     got = one.encode(["", "coldstart", "a"]).tolist()
     assert got == [
-        [115, 31, 96, 65, 11, -65, 107, -73],
-        [-2, -18, 58, 35, -69, 88, -77, -102],
-        [-64, -124, 106, 107, 104, -4, -51, 124],
+        [b - 128 for b in hashlib.sha256(t.encode()).digest()[:8]] for t in (":0", "coldstart:0", "a:0")
     ]
 
 
 def test_encoder_output_is_checked():
     import numpy as np
 
-    assert encode.to_int8(np.array([[0.5, 1.5, -2.5, 200.7, -300.0]]), 1, 5).tolist() == [[0, 2, -2, 127, -128]]
-    assert encode.to_int8(np.array([[300, -200]]), 1, 2).tolist() == [[44, 56]]
     with pytest.raises(ValueError, match="shape"):
-        encode.to_int8(np.zeros((2, 3)), 2, 4)
+        encode.checked(np.zeros((2, 3)), 2, 4)
+
+
+def test_encoded_numbers_are_rounded_and_clipped(spark):
+    import numpy as np
+
+    class Fixed:
+        def encode(self, texts):
+            return np.array([[0.5, 1.5, -2.5, 200.7, -300.0]] * len(texts))
+
+    out = encode.encode_texts(spark.createDataFrame([("a",)], "text string"), Fixed, 5).first()
+    assert list(out.embedding) == [0, 2, -2, 127, -128]
+
+
+def test_spark_and_encoder_stand_ins_agree(spark):
+    from relvec.functions import vectors as V
+
+    df = spark.createDataFrame([("",), ("ä b",)], "text string").select(V.hashed("text", 40).alias("v"))
+    assert [list(r.v) for r in df.collect()] == encode.HashEncoder(40).encode(["", "ä b"]).tolist()
+
+
+def test_embedding_goes_on_after_a_failure(spark, tmp_path):
+    folder = str(tmp_path / "store")
+    everything = TD.text_dictionary(rows_of(spark, [(f"q{i}", "u", f"c{i}") for i in range(20)]))
+
+    class Failing:
+        def encode(self, texts):
+            if any(t == "c7" for t in texts):
+                raise RuntimeError("lost")
+            return encode.HashEncoder(8).encode(texts)
+
+    with pytest.raises(Exception, match="lost"):
+        incremental.embed_pending(spark, everything, folder, Failing, 8)
+    before = spark.read.parquet(folder).count()
+    assert 0 < before < 41
+    assert incremental.embed_pending(spark, everything, folder, lambda: encode.HashEncoder(8), 8) == 41 - before
+    assert spark.read.parquet(folder).count() == 41
+    assert spark.read.parquet(f"{folder}_progress").count() > 1
 
 
 def test_store_resumes_with_new_texts_only(spark, tmp_path):
@@ -116,4 +170,4 @@ def test_store_resumes_with_new_texts_only(spark, tmp_path):
     stored = spark.read.parquet(folder)
     assert stored.count() == 5 == stored.select("role", "text_key").distinct().count()
     vector = stored.join(spark.createDataFrame([("a",)], "t string").select(text_key("t").alias("text_key")), "text_key").first()
-    assert list(vector.embedding) == [-64, -124, 106, 107, 104, -4, -51, 124]
+    assert list(vector.embedding) == encode.HashEncoder(8).encode(["a"])[0].tolist()
