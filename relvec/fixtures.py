@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relvec.functions.vectors import quantize
-from relvec.operators.labels import encode_labels
 from relvec.operators.metrics import evaluate_split
 from relvec.operators.text_dictionary import text_dictionary
 from relvec.schema import LABEL_ORDER
@@ -136,7 +135,3 @@ def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     preds = stored_predictions(spark, sf_dir).withColumn("run_no", run).where(F.col("run_no") != 5)
     name = F.concat(F.lit("run_"), F.lpad(F.col("run_no").cast("string"), 2, "0"))
     return evaluate_split(preds.withColumn("run_dir", name), len(LABEL_ORDER), by=["run_dir", "split"])
-
-
-def labelled(spark: SparkSession, sf_dir: str, classes: DataFrame) -> DataFrame:
-    return encode_labels(interactions(spark, sf_dir), classes)

@@ -28,10 +28,10 @@ def quantile_edges(points: DataFrame, by: Sequence[str], bins: int) -> DataFrame
     )
     wanted = spots.select(*by, "_k", "_t", F.explode(F.array(F.lit(0), F.lit(1))).alias("_side"), "_low")
     wanted = wanted.withColumn("_rank", F.col("_low") + F.col("_side"))
-    # 2 * (bins - 1) ranks per evaluation, whatever the number of rows.
-    hits = points.join(F.broadcast(wanted), list(by)).where(
-        (F.col("_rank") < F.col("cum_n")) & (F.col("_rank") >= F.col("cum_n") - F.col("n"))
-    )
+    # One row per evaluation with its 2 * (bins - 1) ranks; a point yields rows only for ranks that fall on it.
+    ranks = wanted.groupBy(*by).agg(F.collect_list(F.struct("_k", "_t", "_side", "_rank")).alias("_ranks"))
+    here = F.filter("_ranks", lambda r: (r["_rank"] < F.col("cum_n")) & (r["_rank"] >= F.col("cum_n") - F.col("n")))
+    hits = points.join(ranks, list(by)).select(*by, "score", F.inline(here))
     pairs = hits.groupBy(*by, "_k", "_t").agg(
         F.max(F.when(F.col("_side") == 0, F.col("score"))).alias("_a"),
         F.max(F.when(F.col("_side") == 1, F.col("score"))).alias("_b"),
@@ -55,7 +55,7 @@ def calibration_bins(df: DataFrame, bins: int = 10, by: Sequence[str] = ("split"
     )
     points = materialize(points, "confidences")
     edges = quantile_edges(running_sums(points, by, "score", ["n"], descending=False, stored=True), by, bins)
-    binned = points.join(F.broadcast(edges), by).withColumn(
+    binned = points.join(edges, by).withColumn(
         "bin", F.size(F.filter("edges", lambda e: e < F.col("score")))
     )
     return binned.groupBy(*by, "bin").agg(
@@ -85,8 +85,7 @@ def confidence_histogram(df: DataFrame, bins: int = 40, by: Sequence[str] = ("sp
         return F.when(i == bins, high).otherwise(low + i.cast("double") * step)
 
     guess = F.least(F.floor((x - low) / (high - low) * bins).cast("int"), F.lit(bins - 1))
-    # Two rows per evaluation on the small side: correct and wrong. Only bin counts are shuffled.
-    placed = rows.join(F.broadcast(ranges), keys).withColumn("_g", guess)
+    placed = rows.join(ranges, keys).withColumn("_g", guess)
     moved = F.when(x < edge(F.col("_g")), F.col("_g") - 1).when(
         (x >= edge(F.col("_g") + 1)) & (F.col("_g") < bins - 1), F.col("_g") + 1
     ).otherwise(F.col("_g"))

@@ -91,12 +91,14 @@ def cosine_features(
     features come back. It needs no row id. Choose it when rows are wide or repeat.
     """
     keyed = with_text_keys(interactions)
+    cold = F.col("user_text_key") == F.sha2(F.lit(COLD_START_TEXT), 256)
     if not once_per_triple:
-        return add_cosines(attach_ids_and_vectors(keyed, store, used), dims, name, arrow=arrow)
+        rows = attach_ids_and_vectors(keyed.withColumn("_is_cold", cold), store, used)
+        return add_cosines(rows, dims, name, cold=F.col("_is_cold"), arrow=arrow).drop("_is_cold")
     keys = [f"{role}_text_key" for role in ROLES]
     triple = F.sha2(F.concat(*keys), 256)
     distinct = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).withColumns(
-        {"_triple": triple, "_is_cold": F.col("user_text_key") == F.sha2(F.lit(COLD_START_TEXT), 256)}
+        {"_triple": triple, "_is_cold": cold}
     )
     rows = attach_ids_and_vectors(distinct, store, used)
     features = materialize(add_cosines(rows, dims, name, cold=F.col("_is_cold"), arrow=arrow).drop("_is_cold"), "triples")

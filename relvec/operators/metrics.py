@@ -199,8 +199,7 @@ def roc_curve_micro(df: DataFrame, num_classes: int, by: Sequence[str] = ("split
     totals = areas(points, by)
     zero = F.lit(0).cast(points.schema["cum_pos"].dataType)
     origin = totals.select(*by, F.lit(None).cast("double").alias("score"), zero.alias("cum_pos"), zero.alias("cum_neg"))
-    # One row per evaluation on the small side.
-    return points.select(*by, "score", "cum_pos", "cum_neg").unionByName(origin).join(F.broadcast(totals), list(by)).select(
+    return points.select(*by, "score", "cum_pos", "cum_neg").unionByName(origin).join(totals, list(by)).select(
         *by, rounded(F.col("score")).alias("threshold"),
         rounded(F.try_divide("cum_neg", "negatives")).alias("fpr"), rounded(F.try_divide("cum_pos", "positives")).alias("tpr"),
         rounded(F.col("roc_auc")).alias("auc"),
@@ -212,7 +211,7 @@ def pr_curve_micro(df: DataFrame, num_classes: int, by: Sequence[str] = ("split"
     points = cumulative_hits(score_points(df, num_classes, by, micro=True), by)
     totals = areas(points, by)
     one = F.lit(1.0)
-    body = points.join(F.broadcast(totals), list(by)).select(
+    body = points.join(totals, list(by)).select(
         *by, rounded(F.col("score")).alias("threshold"),
         F.coalesce(F.try_divide("cum_pos", F.col("cum_pos") + F.col("cum_neg")), F.lit(0.0)).alias("precision"),
         F.coalesce(F.try_divide("cum_pos", "positives"), one).alias("recall"), "average_precision",

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Fixed names: files and results carry them.
 SPLITS = ("train", "valid", "test")
 
 # role -> text column and id column of an interaction
