@@ -29,11 +29,13 @@ def test_feature_build_and_rerun(spark, tmp_path, small):
     cold = features.where("user_profile_text = 'coldstart'")
     assert cold.where("uc_cosine_16 <> 0 or qu_cosine_16 <> 0 or quc_cosine_16 <> qc_cosine_16").count() == 0
     assert record["embedded_now"] == sum(record["text_roles"].values())
+    assert sorted(record["splits_now"]) == ["test", "train", "valid"]
+    assert feature_build.build(spark, splits, out, lambda: HashEncoder(16), 16, "4,8")["splits_now"] == []
     # Fewer rows change counts and ids; no text is new, and ids still lead to the vector of their text.
     tables.write_splits(rows.where("event_id % 3 <> 0"), splits)
     again = feature_build.build(spark, splits, out, lambda: HashEncoder(16), 16, "4,8")
     assert again["embedded_now"] == 0
-    assert spark.read.text(out + "/manifest").count() == 2
+    assert spark.read.text(out + "/manifest").count() == 3
     features, store = tables.read_features(spark, out + "/features"), tables.read_store(spark, out + "/store")
     ids = store.where("role = 'candidate'").select(F.col("text_id").alias("candidate_text_id"), "text_key")
     checked = features.join(ids, "candidate_text_id").where(F.col("text_key") == text_key("candidate_text"))
