@@ -259,11 +259,14 @@ def role_vectors_joined(spark, sf):
     return gathered.select("event_id", *[joined_text(F.col(FE.VECTOR[r])).alias(f"{r}_vector") for r in ROLES])
 
 
-def _vector_rows(spark, sf) -> DataFrame:
-    rows, store = X.interactions_and_store(spark, sf)
+def _vector_rows_of(rows: DataFrame, store: DataFrame) -> DataFrame:
     return FE.attach_ids_and_vectors(TD.with_text_keys(rows), store)
 
 
+def _vector_rows(spark, sf) -> DataFrame:
+    return _vector_rows_of(*X.interactions_and_store(spark, sf))
+
+
 @query("zeroed_concat")
 def zeroed_concat(spark, sf):
     rows = _vector_rows(spark, sf).withColumn("embedding_user_available", S.user_available())
@@ -641,8 +644,8 @@ MODEL_DIM = X.DIM
 
 def _training_rows(spark, sf, config: TrainingConfig):
     rows, store = X.interactions_and_store(spark, sf)
-    with_ids = TD.attach_text_ids(rows, store).withColumn("embedding_user_available", S.user_available())
-    return prepare(no_text(with_ids), store, config)
+    with_vectors = _vector_rows_of(rows, store).withColumn("embedding_user_available", S.user_available())
+    return prepare(no_text(with_vectors), store, config)
 
 
 def _scores(frame: DataFrame) -> DataFrame:
