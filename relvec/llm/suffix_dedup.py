@@ -10,7 +10,7 @@ hashes; equal neighbours are verified byte by byte.
 
 Map tasks merge what they can before anything moves: of equal cells only the first, and one cell per anchor to ask for
 repeats. Anchors with very many different cells are split by a hash of the content; strings that are first in their
-part are then compared by content across parts.
+part are then packed by hash and compared whole across parts.
 
 Order: smaller id (null last), then earlier start, then a hash of the text for texts that share an id. Defined cases: a
 null text is empty; texts below LENGTH bytes lose nothing; repeated rows are one document and get equal results; empty
@@ -260,8 +260,11 @@ def sort_suffixes(suffixes: _Suffixes, start: np.ndarray, segment: np.ndarray) -
     return order
 
 
-def _resolved(table: pa.Table) -> Iterator[pa.RecordBatch]:
-    """Repeats among the strings of cells that share an anchor, and the first strings of anchors in several parts."""
+def _resolved(table: pa.Table, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Repeats among the strings of cells that share an anchor, and the first strings of anchors in several parts.
+
+    The latter are packed by a hash of the string: `p` is the bucket, and `strings` holds them with their places.
+    """
     data, at = utf8(table.column("content").combine_chunks())
     c = {k: table.column(k).to_numpy() for k in ("id", "tie", "p", "n", "off", "h", "part", "parts")}
     group = np.cumsum(np.append(True, (c["h"][1:] != c["h"][:-1]) | (c["part"][1:] != c["part"][:-1]))) - 1
@@ -293,23 +296,47 @@ def _resolved(table: pa.Table) -> Iterator[pa.RecordBatch]:
     head = found[begin]
     n = np.diff(np.append(np.flatnonzero(begin), len(found))) if len(found) else np.zeros(0, np.int64)
     owner = cell[head]
-    yield _runs(c, owner, shift[head], n, pa.array([None] * len(head), pa.binary()))
-    open_ = np.flatnonzero(~repeat & (c["parts"][cell] > 1))
-    for i in range(0, len(open_), 50_000):
-        part = open_[i : i + 50_000]
-        text = data[start[part][:, None] + np.arange(LENGTH)]
-        strings = pa.FixedSizeBinaryArray.from_buffers(pa.binary(LENGTH), len(part), [None, pa.py_buffer(np.ascontiguousarray(text))])
-        yield _runs(c, cell[part], shift[part], np.ones(len(part), np.int64), strings.cast(pa.binary()))
-
-
-def _runs(c: Cells, owner: np.ndarray, shift: np.ndarray, n: np.ndarray, strings: pa.Array) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(c["id"][owner]), pa.array(c["tie"][owner]), pa.array((c["p"][owner] + shift).astype(np.int32)), pa.array(n.astype(np.int32)), strings],
-        ["id", "tie", "p", "n", "string"],
-    )
-
-
-def _sorted_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    places = {"id": c["id"][owner], "tie": c["tie"][owner], "p": (c["p"][owner] + shift[head]).astype(np.int32), "n": n.astype(np.int32)}
+    yield pa.RecordBatch.from_arrays([*[pa.array(v) for v in places.values()], pa.nulls(len(head), pa.binary())], [*places, "strings"])
+    rest = np.flatnonzero(~repeat & (c["parts"][cell] > 1))
+    own = mix((suffixes.prefix[start[rest] + LENGTH] - suffixes.prefix[start[rest]]) * suffixes.inverse[start[rest]]) % np.uint64(buckets)
+    by = np.argsort(own, kind="stable")
+    rest, own, press = rest[by], own[by], zstandard.ZstdCompressor(level=1)
+    for part in np.split(np.arange(len(rest)), np.flatnonzero(np.diff(own)) + 1) if len(rest) else []:
+        at_ = rest[part]
+        text = data[start[at_][:, None] + np.arange(LENGTH)]
+        raw = [c["id"][cell[at_]], c["tie"][cell[at_]], (c["p"][cell[at_]] + shift[at_]).astype(np.int32), text]
+        blob = press.compress(b"".join(x.tobytes() for x in raw))
+        yield pa.RecordBatch.from_arrays(
+            [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([int(own[part[0]])], pa.int32()), pa.array([len(part)], pa.int32()), pa.array([blob], pa.binary())],
+            [*places, "strings"],
+        )
+
+
+def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of equal strings from several parts, all but the first. Equal strings are in one bucket, one from each part."""
+    open_, held = zstandard.ZstdDecompressor(), []
+    for batch in batches:
+        for n, blob in zip(batch.column("n").to_pylist(), batch.column("strings").to_pylist()):
+            raw = open_.decompress(blob)
+            held.append((
+                np.frombuffer(raw, np.int64, n), np.frombuffer(raw, np.int64, n, 8 * n), np.frombuffer(raw, np.int32, n, 16 * n),
+                np.frombuffer(raw, f"V{LENGTH}", n, 20 * n),
+            ))
+    if not held:
+        return
+    ids, tie, p, text = (np.concatenate(x) for x in zip(*held))
+    group = np.unique(text, return_inverse=True)[1].ravel()
+    order = np.lexsort((tie, p, ids, group))
+    ids, tie, p, group = (x[order] for x in (ids, tie, p, group))
+    new = np.append(True, group[1:] != group[:-1])
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    late = (ids != ids[first]) | (p != p[first]) | (tie != tie[first])
+    columns = [ids[late], tie[late], p[late], np.ones(late.sum(), np.int32)]
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["id", "tie", "p", "n"])
+
+
+def _sorted_parts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Hand whole parts on for sorting, several small ones at a time."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -325,14 +352,14 @@ def _sorted_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 if cut:
                     held.append(rest.slice(0, cut))
                 if len(other):
-                    yield from _resolved(pa.Table.from_batches(held))
+                    yield from _resolved(pa.Table.from_batches(held), buckets)
                     held = []
                 rows += cut
             else:
                 held.append(rest)
                 rows += rest.num_rows
     if held:
-        yield from _resolved(pa.Table.from_batches(held))
+        yield from _resolved(pa.Table.from_batches(held), buckets)
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -367,11 +394,12 @@ def repeats(docs: DataFrame) -> DataFrame:
     kind = "id long, tie long, h long, p int, n int, off int, part int, parts int, content binary"
     dealt = docs.join(wanted, ["id", "tie"]).select("id", "tie", "text", "cells").mapInArrow(contexts, kind)
     dealt = dealt.repartition("h", "part").sortWithinPartitions("h", "part")
-    found = materialize(dealt.mapInArrow(_sorted_parts, "id long, tie long, p int, n int, string binary"), "found")
-    across = found.where("string is not null")
-    earliest = across.groupBy("string").agg(F.min(place).alias("first"))
-    crossed = across.join(earliest, "string").where(place > F.col("first"))
-    runs = [known, later, found.where("string is null"), crossed]
+    partitions = shuffle_partitions(docs.sparkSession)
+    buckets = BUCKETS_PER_PARTITION * partitions
+    found = materialize(dealt.mapInArrow(lambda b: _sorted_parts(b, buckets), "id long, tie long, p int, n int, strings binary"), "found")
+    across = found.where("strings is not null").select(F.col("p").alias("bucket"), "n", "strings").repartition(partitions, "bucket")
+    crossed = across.mapInArrow(_later, "id long, tie long, p int, n int")
+    runs = [known, later, found.where("strings is null"), crossed]
     out = runs[0]
     for more in runs[1:]:
         out = out.unionByName(more.select("id", "tie", "p", "n"))
