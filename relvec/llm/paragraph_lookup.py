@@ -29,6 +29,7 @@ from relvec.session import shuffle_partitions
 TABLES = 3
 BASE_CELLS = 8  # in each table of the fingerprint
 SENTENCES = 4  # in a piece, about
+GROUP = 32  # pieces (of both texts) that one part of a larger sketch holds, about
 ROUNDS = 30
 RANGES_PER_PARTITION = 4
 _LOWEST = -(1 << 63)
@@ -116,18 +117,33 @@ def peel(cells: Column, size: Column) -> Column:
 
 
 def differing(a: Column, b: Column, base_a: Column, base_b: Column) -> Column:
-    """Number of pieces that differ. The base sketches are tried first, then two sizes that grow with the texts.
+    """Number of pieces that differ. The base sketches are tried first, then larger ones, at two sizes.
 
-    A set of digests that no size can peel (chance only) is compared directly.
+    A larger sketch is a row of small ones, one for each GROUP pieces, by digest; so its cost follows the length of the
+    texts. A set of digests that no size can peel (chance only) is compared directly.
     """
     both = F.size(a) + F.size(b)
 
     def larger(factor: float) -> Column:
-        return _let(F.ceil(both * factor).cast("int") + BASE_CELLS, lambda m: peel(subtract(sketch(a, m), sketch(b, m)), m))
+        groups = F.greatest(F.ceil(both / GROUP).cast("int"), F.lit(1))
 
-    small = peel(subtract(base_a, base_b), F.lit(BASE_CELLS))
-    direct = F.concat(F.array_except(a, b), F.array_except(b, a))
-    return F.size(F.coalesce(small, larger(0.6), larger(1.5), direct))
+        def in_group(g: Column) -> Column:
+            own = [F.filter(x, lambda d: F.pmod(d, groups) == g) for x in (a, b)]
+            cells = lambda s: F.ceil((F.size(s["a"]) + F.size(s["b"])) * factor).cast("int") + BASE_CELLS
+            return _let(F.struct(own[0].alias("a"), own[1].alias("b")), lambda s: _let(
+                cells(s), lambda m: _let(peel(subtract(sketch(s["a"], m), sketch(s["b"], m)), m), _count)
+            ))
+
+        every = F.transform(F.sequence(F.lit(0), groups - 1), in_group)
+        return _let(every, lambda c: F.when(~F.exists(c, lambda n: n.isNull()), F.aggregate(c, F.lit(0), lambda x, n: x + n)))
+
+    small = _let(peel(subtract(base_a, base_b), F.lit(BASE_CELLS)), _count)
+    direct = F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))
+    return F.coalesce(small, larger(0.6), larger(1.5), direct)
+
+
+def _count(found: Column) -> Column:
+    return F.when(found.isNotNull(), F.size(found))
 
 
 def likeness(a: Column, b: Column, base_a: Column, base_b: Column) -> Column:
