@@ -362,8 +362,29 @@ def _sorted_parts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[p
         yield from _resolved(pa.Table.from_batches(held), buckets)
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """(id, tie, p, n): runs of n strings from p on that also start earlier. docs: (id, tie, text), dealt by id and tie."""
+def _pressed(docs: DataFrame) -> DataFrame:
+    """`text` as compressed bytes `packed`, which is what joins move: less than half of what shuffles make of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1)
+        for batch in slices(batches):
+            texts = batch.column("text").fill_null("").cast(pa.binary()).to_pylist()
+            kept = [batch.column(k) for k in ("doc_id", "id", "tie")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array([press.compress(t) for t in texts], pa.binary())], ["doc_id", "id", "tie", "packed"])
+
+    return docs.select("doc_id", "id", "tie", "text").mapInArrow(run, "doc_id long, id long, tie long, packed binary")
+
+
+def _opened(packed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    open_ = zstandard.ZstdDecompressor()
+    texts = [open_.decompress(x) for x in packed.to_pylist()]
+    at = np.zeros(len(texts) + 1, np.int64)
+    np.cumsum([len(t) for t in texts], out=at[1:])
+    return np.frombuffer(b"".join(texts), np.uint8), at
+
+
+def repeats(docs: DataFrame, packed: DataFrame) -> DataFrame:
+    """(id, tie, p, n): runs of n strings from p on that also start earlier. docs: (id, tie, text); packed: their bytes."""
     cells = materialize(repeated_cells(docs), "cells")
     known = cells.where("repeat").select("id", "tie", "p", "n")
     # Equal cells: at most one from each flush of a map task.
@@ -379,8 +400,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     wanted = differ.groupBy("id", "tie").agg(F.collect_list(F.struct("h", "p", "n", "off", "part", "parts")).alias("cells"))  # as many as the text is long
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            data, at = utf8(batch.column("text"))
+        for batch in slices(batches, most=1_000_000, column="packed"):
+            data, at = _opened(batch.column("packed"))
             lists = batch.column("cells")
             row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
             flat = lists.flatten()
@@ -392,7 +413,7 @@ def repeats(docs: DataFrame) -> DataFrame:
             )
 
     kind = "id long, tie long, h long, p int, n int, off int, part int, parts int, content binary"
-    dealt = docs.join(wanted, ["id", "tie"]).select("id", "tie", "text", "cells").mapInArrow(contexts, kind)
+    dealt = packed.join(wanted, ["id", "tie"]).select("id", "tie", "packed", "cells").mapInArrow(contexts, kind)
     dealt = dealt.repartition("h", "part").sortWithinPartitions("h", "part")
     partitions = shuffle_partitions(docs.sparkSession)
     buckets = BUCKETS_PER_PARTITION * partitions
@@ -409,12 +430,12 @@ def repeats(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, kept, spans) of every row: what is left of the text, and the removed byte spans (start, end)."""
     rows = pick(docs, "doc_id", "text").withColumn("id", F.coalesce("doc_id", F.lit(_LAST))).withColumn("tie", F.xxhash64("text"))
-    texts = rows.select("id", "tie", "text")
-    removed = repeats(texts).groupBy("id", "tie").agg(F.collect_set(F.struct("p", "n")).alias("runs"))
+    packed = _pressed(rows)
+    removed = repeats(rows.select("id", "tie", "text"), packed).groupBy("id", "tie").agg(F.collect_set(F.struct("p", "n")).alias("runs"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            data, at = utf8(batch.column("text"))
+        for batch in slices(batches, most=1_000_000, column="packed"):
+            data, at = _opened(batch.column("packed"))
             kept, spans = [], []
             for i, runs in enumerate(batch.column("runs")):
                 whole = data[at[i] : at[i + 1]]
@@ -435,7 +456,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
                 [batch.column("doc_id"), pa.array(np.diff(at)), pa.array(kept, pa.binary()), pa.array(spans, kind)], ["doc_id", "n_bytes", "kept", "spans"]
             )
 
-    joined = rows.join(removed, ["id", "tie"], "left").select("doc_id", "text", "runs")
+    joined = packed.join(removed, ["id", "tie"], "left").select("doc_id", "packed", "runs")
     return joined.mapInArrow(cut, "doc_id long, n_bytes long, kept binary, spans array<struct<start:long,end:long>>")
 
 
