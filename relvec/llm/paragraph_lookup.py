@@ -1,7 +1,8 @@
 """Document fingerprints: an invertible Bloom lookup sketch of paragraphs.
 
-A text is cut at line ends and, inside a line, after sentences whose hash says so; the same words are cut alike wherever
-they stand. The digest of each piece is added to one cell in each of three tables. A cell holds a count, the exclusive
+A text is cut at line ends and after every sentence. A sentence longer than LONGEST is also cut after words, and a word
+longer than WORD after characters: each WINDOW of them in a row has a cut after the one with the least hash. So a piece
+is bounded, and the same words are cut alike wherever they stand. The digest of each piece is added to one cell in each of three tables. A cell holds a count, the exclusive
 or of its digests and that of their check values. Subtracting the cells of two sketches cancels what the texts share;
 peeling takes a digest out of a cell that holds one only, until nothing is left. A sketch too small for its differences
 can't be peeled to the end; then both are built larger.
@@ -28,7 +29,10 @@ from relvec.session import shuffle_partitions
 
 TABLES = 3
 BASE_CELLS = 8  # in each table of the fingerprint
-SENTENCES = 4  # in a piece, about
+LONGEST = 128  # characters of a sentence that is one piece
+WORD = 64  # characters of a word that is one unit
+WINDOW = 16  # units in a piece of a longer sentence or word, at most
+SHINGLE = 8  # characters whose hash decides on a cut inside a long word
 GROUP = 32  # pieces (of both texts) that one part of a larger sketch holds, about
 ROUNDS = 30
 RANGES_PER_PARTITION = 4
@@ -43,24 +47,48 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
 def digests(text: Column) -> Column:
     """Sorted 64-bit digests of a text's pieces. A piece's second, third .. occurrence counts as another piece."""
 
-    def pieces(units: Column) -> Column:
-        last = F.size(units) - 1
-        cut = F.filter(F.sequence(F.lit(0), last), lambda i: (
-            (i == last) | F.get(units, i).endswith("\n") | (F.pmod(F.xxhash64(F.get(units, i)), F.lit(SENTENCES)) == 0)
-        ))
-        return _let(cut, lambda c: F.transform(c, lambda end, k: _let(
-            F.when(k > 0, F.get(c, k - 1)).otherwise(-1), lambda before: F.xxhash64(F.array_join(F.slice(units, before + 2, end - before), ""))
-        )))
-
     def numbered(found: Column) -> Column:
-        repeat = lambda d, i: F.when((i > 0) & (F.get(found, i - 1) == d), F.xxhash64(d, i - F.array_position(found, d))).otherwise(d)
-        return F.transform(found, repeat)
+        """Equal digests stand together. Each run is numbered from its start."""
+        n = F.size(found)
+        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(found, i - 1) != F.get(found, i)))
+        return _let(starts, lambda s: F.flatten(F.transform(s, lambda start, k: _let(F.get(found, start), lambda d: F.transform(
+            F.sequence(F.lit(0), F.coalesce(F.get(s, k + 1), n) - start - 1), lambda r: F.when(r == 0, d).otherwise(F.xxhash64(d, r))
+        )))))
 
     whole = F.coalesce(text, F.lit(""))
-    cut = _let(F.split(whole, r"(?<=\n)|(?<=[.!?] )"), lambda u: _let(F.array_sort(pieces(u)), numbered))
+    sentences = F.filter(F.split(whole, r"(?<=\n)|(?<=[.!?] )"), lambda u: u != "")
+    some_long = F.exists(sentences, lambda u: F.length(u) > LONGEST)
+    pieces = _let(sentences, lambda u: F.when(some_long, F.flatten(F.transform(u, _bounded))).otherwise(u))
+    cut = _let(F.array_sort(F.transform(pieces, lambda u: F.xxhash64(u))), numbered)
     return F.when(whole == "", F.array().cast("array<long>")).otherwise(cut)
 
 
+def _bounded(sentence: Column) -> Column:
+    """Pieces of one sentence."""
+
+    def word(w: Column) -> Column:
+        def shingles(c: Column) -> Column:
+            return F.transform(c, lambda _, i: F.xxhash64(F.array_join(F.slice(c, F.greatest(i - SHINGLE + 2, F.lit(1)), F.least(i + 1, F.lit(SHINGLE))), "")))
+
+        characters = F.filter(F.split(w, ""), lambda c: c != "")
+        return F.when(F.length(w) <= WORD, F.array(w)).otherwise(_let(characters, lambda c: _cut(c, shingles(c))))
+
+    words = _let(F.split(sentence, r"(?<=\s)"), lambda u: F.when(F.exists(u, lambda w: F.length(w) > WORD), F.flatten(F.transform(u, word))).otherwise(u))
+    by_words = _let(F.filter(words, lambda w: w != ""), lambda u: _cut(u, F.transform(u, lambda w: F.xxhash64(w))))
+    return F.when(F.length(sentence) <= LONGEST, F.array(sentence)).otherwise(by_words)
+
+
+def _cut(units: Column, hashes: Column) -> Column:
+    """Units joined to pieces of at most WINDOW, that end after the least hash (the last of equal ones) of each WINDOW in a row."""
+    last = F.size(units) - 1
+    placed = F.transform(hashes, lambda h, i: F.named_struct(F.lit("h"), h, F.lit("i"), -i))
+    ends = _let(placed, lambda p: F.transform(F.sequence(F.lit(0), last + 1 - WINDOW), lambda j: -F.array_min(F.slice(p, j + 1, WINDOW))["i"]))
+    cut = _let(F.array_distinct(F.concat(ends, F.array(last))), lambda c: F.transform(c, lambda end, k: _let(
+        F.when(k > 0, F.get(c, k - 1)).otherwise(-1), lambda before: F.array_join(F.slice(units, before + 2, end - before), "")
+    )))
+    return F.when(last >= WINDOW, cut).otherwise(F.array(F.array_join(units, "")))
+
+
 def _keyed(digest: Column, cells: Column) -> list[Column]:
     """A digest's check value and its cell in each table."""
     places = [(F.pmod(F.xxhash64(digest, F.lit(t)), cells) + cells * t).cast("int").alias(f"p{t}") for t in range(TABLES)]

@@ -143,6 +143,27 @@ def test_fingerprint_defined_cases(spark, repeated, empty):
     assert got[0] == got[1] and got[2] == got[3] != got[4]
 
 
+def test_pieces_are_bounded_without_line_and_sentence_ends(spark):
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    texts = {
+        "unpunctuated": " ".join(word() for _ in range(300)), "table": " | ".join(word() for _ in range(300)), "one word": " ".join(["la"] * 600),
+        "unspaced": "".join(word() for _ in range(400)), "letters": "a" * 2000, **{s: s * 300 for s in ("Ating. ", "Aa. ", "Bb. ", "Cc. ", "No! Yes? ")},
+    }
+    most = paragraph_lookup.WORD * paragraph_lookup.WINDOW
+    rows = []
+    for name, t in texts.items():
+        other = " ".join(word() for _ in range(len(t) // 21))
+        rows += [(name, "tail", t, t[: len(t) - len(t) // 3] + other), (name, "inside", t, t[: len(t) // 2] + "zz " + t[len(t) // 2 :])]
+    found = spark.createDataFrame(rows, "name string, edit string, a string, b string").repartition(1)
+    found = found.select("name", "edit", "a", *[paragraph_lookup.digests(F.col(c)).alias(f"p{c}") for c in "ab"])
+    base = [paragraph_lookup.sketch(F.col(p), F.lit(paragraph_lookup.BASE_CELLS)) for p in ("pa", "pb")]
+    for r in found.select("name", "edit", "a", "pa", "pb", paragraph_lookup.likeness(F.col("pa"), F.col("pb"), *base).alias("near")).collect():
+        assert len(set(r["pa"])) == len(r["pa"]) >= len(r["a"]) / most
+        assert r["near"] == pytest.approx(2 * len(set(r["pa"]) & set(r["pb"])) / (len(r["pa"]) + len(r["pb"])))
+        assert r["near"] > (0.9 if r["edit"] == "inside" else 0.4), (r["name"], r["edit"])
+
+
 # ---- 5: sampled pieces ----
 
 
