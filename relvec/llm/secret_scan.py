@@ -46,8 +46,15 @@ BASE_RULES = (
     Rule("access", "AKIA", "AKIA[A-Z0-9]+", least=20),
     Rule("hex", "[0-9a-f]{24}", "[0-9a-f]+", least=24),
 )
+_BLANK, _BODY = "[\\x20\\t]", "[A-Za-z0-9+/=]"
+_LINE_END = f"{_BLANK}*([\\r\\n]|\\\\[nr]){_BLANK}*"  # also as written inside a JSON string
+_PEM_HEADER = "(Proc-Type|DEK-Info|Comment|Version):[\\x20-\\x7e]*[\\r\\n]"
+# A key runs to its END line. Without one it is the header line and all lines of body characters after it; then only long
+# runs may follow a blank, so that prose after a bare header stays.
+_PEM_WHOLE = f"({_BODY}|{_BLANK}|{_LINE_END}|{_PEM_HEADER})*-----END( [A-Z0-9]+)* PRIVATE KEY-----"
+_PEM_CUT_OFF = f"(({_LINE_END}|{_PEM_HEADER})*{_BODY}+|{_BLANK}+{_BODY}{{20}})*"
 MORE_RULES = (
-    Rule("pem", "-----BEGIN", "-----BEGIN( [A-Z0-9]+)* PRIVATE KEY-----"),
+    Rule("pem", "-----BEGIN", f"-----BEGIN( [A-Z0-9]+)* PRIVATE KEY-----({_PEM_WHOLE}|{_PEM_CUT_OFF})"),
     Rule("prefixed", "(gh[pousr]_|xox[abprs]-|sk-)", "(gh[pousr]_|xox[abprs]-|sk-)[A-Za-z0-9-]+", least=24),
     Rule("jwt", "eyJ", "eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+"),
 )

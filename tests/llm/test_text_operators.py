@@ -222,6 +222,27 @@ def test_secret_rules_on_awkward_texts():
     assert [s[0][0] for s in extra] == ["pem", "prefixed", "jwt"]
 
 
+def test_no_body_of_a_private_key_is_left(spark):
+    rng = np.random.default_rng(8)
+    lines = ["".join(rng.choice(list("ABCxyz019+/"), n)) for n in (64, 64, 64, 9)]
+    lines[-1] += "=="
+    head, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    coded = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n"
+    texts = [
+        *["Before\n" + sep.join([head, *lines, end]) + "\nAfter it." for sep in ("\n", "\r\n", "\\n", "\n    ", " ")],
+        "Before\n" + head + "\n" + coded + "\n".join([*lines, end]) + "\nAfter it.",
+        *["Before\n" + sep.join([head, *lines]) + "\n\n-- After it." for sep in ("\n", "\r\n", "\\n")],
+        "Before\n" + head + " is the header. After it.",
+        "secret=" + "\n".join([head, *lines, end]) + "\nAfter it.",
+        "Before\n" + 2 * ("\n".join([head, *lines, end]) + "\n") + "After it.",
+    ]
+    cleaned = [r[0] for r in secret_scan.redacted(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).select("text").collect()]
+    for old, new in zip(texts, cleaned):
+        assert not any(x in new for x in [*lines, "PRIVATE", "-----", "DEK-Info"]), new
+        assert new.endswith("After it.") and new.startswith("Before\n[pem]" if old[0] == "B" else "[assign]")
+    assert cleaned[0] == "Before\n[pem]\nAfter it." and cleaned[9] == "Before\n[pem] is the header. After it."
+
+
 def test_minimal_automaton_agrees_with_re():
     machine = compile_rules(["a(b|c)*d", "ab{2,3}[x-z]?"])
     for text in ("ad", "abcbd", "abb", "abbbz", "abbbb", "a", ""):
