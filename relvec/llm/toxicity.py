@@ -95,7 +95,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS, k
 
 
 def without_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:
-    """Rows and columns of `docs` that score below the threshold."""
+    """Rows and columns of `docs` that score below the threshold; all of them, if no machine could be fitted."""
+    if model.machine is None:
+        return docs
     scored = model.transform(docs).toDF(*[f"c{i}" for i in range(len(docs.columns))], "score")
     return scored.where(F.col("score") < threshold).drop("score").toDF(*docs.columns)
 

@@ -81,6 +81,14 @@ def test_toxicity_defined_cases(docs, repeated, empty, spark):
     assert all(r[0] in (True, False) for r in held)
 
 
+def test_without_a_machine_no_document_is_dropped(docs, spark):
+    kind = "doc_id long, quality int, toxic int"
+    for labels in ([(7, 1, 1)], [(7, 1, 1), (14, 1, 0)]):
+        model = toxicity.fit(docs, spark.createDataFrame(labels, kind))
+        assert model.machine is None and model.prior >= toxicity.THRESHOLD
+        assert sorted(toxicity.without_toxic(docs, model).collect()) == sorted(docs.collect())
+
+
 def test_pipeline_stages_take_effect(spark, docs, small):
     current, before = docs, docs.count()
     for name, stage in corpus_pipeline.STAGES[:3]:
