@@ -2,7 +2,7 @@
 
 Terms are hashed into a fixed space; the buckets that go with the label beyond chance (chi-square of presence and label)
 become features, present or not. The machine learns a weight for each feature and a short vector whose products weigh
-every pair, so terms that say little alone can say much together. Learning reads at most about `max_rows` labelled documents, chosen by a hash of their id; that
+every pair of them; terms that are neutral alone are not among them, so pairs of these are missed (open). Learning reads at most about `max_rows` labelled documents, chosen by a hash of their id; that
 is the only sample. Scoring reads every whole text, row by row.
 
 Defined cases: a null text is empty and gets the score of a text without known terms; conflicting labels of one id count
