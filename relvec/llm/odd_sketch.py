@@ -6,8 +6,8 @@ into a bitmap of parities; the bits in which two bitmaps differ estimate how man
 the threshold go no further. What is left is confirmed on the full sets, so no wrong link is made.
 
 Equal sets are one node. A bucket of a band first compares its members with two of them only; once components are
-known, those outside its largest component are compared with all, in blocks, so a group of any size needs no task of its
-own and no table of its pairs.
+known, those outside its largest component are compared with all, in blocks of a bounded number of shingles, so a group of any
+size needs no task of its own and no table of its pairs. Two members that share several bands are compared in the first only.
 
 Defined cases: null or empty texts have no shingles and no links; fewer words than `width` make one shingle; rows
 without an id stay apart (component null, kept); rows that share an id count as one document; other columns are
@@ -34,7 +34,7 @@ SIMILAR = 80  # percent
 SAMPLES, ROWS = 128, 4  # minima, and minima in a band
 BITS = 512
 MOST_DIFFERING_BITS = 92  # of two bitmaps; at similarity 0.8 they differ in 46 with a deviation of 8
-BLOCK = 256
+BLOCK = 1 << 18  # shingles of the members that one task compares with as many others
 _FACTORS = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 
 
@@ -159,9 +159,10 @@ def _held(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tab
 def _links_in(table: pa.Table, width: int) -> list[tuple[int, int]]:
     """Links between components in one group: rows that are `few` against all rows of the group's column."""
     few, many, node, component = (table.column(c).to_numpy() for c in ("is_few", "is_many", "node", "component"))
-    bits = table.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
+    wide = lambda c: table.column(c).combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+    bits, bands, here = wide("bits").view(np.uint64), wide("bands"), table.column("band")[0].as_py()
     left, right = np.flatnonzero(few), np.flatnonzero(many)
-    sets: list[np.ndarray] = []
+    sizes, begin, codes, mark = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
     above = {int(c): int(c) for c in component}
 
     def top(c: int) -> int:
@@ -169,58 +170,69 @@ def _links_in(table: pa.Table, width: int) -> list[tuple[int, int]]:
             c = above[c]
         return c
 
-    links = []
+    links, now = [], component[right]
     for i in left:
         own = top(int(component[i]))
-        now = np.array([top(int(c)) for c in component[right]])
         other = right[now != own]
         other = other[np.bitwise_count(bits[other] ^ bits[i]).sum(1) <= MOST_DIFFERING_BITS]
+        other = other[~(bands[other, :here] == bands[i, :here]).any(1)]
         if not len(other):
             continue
-        if not sets:
-            found, counts = shingles(*utf8(table.column("text").combine_chunks()), width)
-            sets = np.split(found, np.cumsum(counts)[:-1])
-        sizes = np.array([len(sets[j]) for j in other])
-        inside = np.isin(np.concatenate([sets[j] for j in other]), sets[i])
-        both = np.add.reduceat(inside, np.cumsum(sizes) - sizes)
-        for j in other[100 * both >= SIMILAR * (sizes + len(sets[i]) - both)]:
+        if not len(codes):
+            found, sizes = shingles(*utf8(table.column("text").combine_chunks()), width)
+            begin = np.cumsum(sizes) - sizes
+            unique, codes = np.unique(found, return_inverse=True)
+            mark = np.zeros(len(unique), bool)
+        other = other[sizes[other] > 0]
+        if not len(other):
+            continue
+        mine = codes[begin[i] : begin[i] + sizes[i]]
+        mark[mine] = True
+        each = sizes[other]
+        at = np.repeat(begin[other] - (np.cumsum(each) - each), each) + np.arange(each.sum())
+        both = np.add.reduceat(mark[codes[at]].astype(np.int64), np.cumsum(each) - each)
+        mark[mine] = False
+        for j in other[100 * both >= SIMILAR * (each + sizes[i] - both)]:
             to = top(int(component[j]))
             if to != own:
                 links.append((int(node[i]), int(node[j])))
                 above[max(to, own)] = own = min(to, own)
+                now = np.array([top(int(c)) for c in component[right]])
     return links
 
 
-def _across(members: DataFrame, texts: DataFrame, bits: DataFrame, width: int) -> DataFrame:
-    """Links (a, b) between members of a bucket that are in different components. members: (bucket, node, component).
+def _across(members: DataFrame, texts: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """Links (a, b) between members of a bucket that are in different components. members: (bucket, band,
+    node, size, component).
 
-    Buckets with the same members are one. The members outside a bucket's largest component are its few; they are
-    compared with all, in groups of a block of the few and a block of all, so pairs inside the largest component are
-    never looked at. A group confirms its links on full sets and returns no more of them than it joins components.
+    Of buckets with the same members only the first band's counts. The members outside a bucket's largest component are its
+    few; they are compared with all, in groups of a block of the few and a block of all, so pairs inside the largest component
+    are never looked at. A group confirms its links on full sets and returns no more of them than it joins components.
     """
-    alike = members.groupBy("bucket").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"),
+    by_component = members.groupBy("bucket", "component").agg(
+        F.min("band").alias("band"), F.count(F.lit(1)).alias("k"), F.sum("size").alias("size"),
         F.sum(F.xxhash64("node") % 1_000_000_007).alias("sum"), F.bit_xor(F.xxhash64("node")).alias("mixed"),
-    ).where("low <> high").groupBy("n", "sum", "mixed").agg(F.min("bucket").alias("bucket"))
-    parts = members.join(alike.select("bucket", "n"), "bucket")
-    largest = parts.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket").agg(
-        F.max(F.struct("k", "component")).alias("top")
-    ).select("bucket", F.col("top.k").alias("k"), F.col("top.component").alias("largest"))
-    placed = parts.join(largest, "bucket")
-    columns = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = F.ceil((F.col("n") - F.col("k")) / BLOCK).cast("int")
+    )
+    alike = by_component.groupBy("bucket").agg(
+        F.min("band").alias("band"), F.max(F.struct("k", "component", "size")).alias("top"), F.count(F.lit(1)).alias("parts"),
+        *[F.sum(c).alias(c) for c in ("k", "size", "sum")], F.bit_xor("mixed").alias("mixed"),
+    ).where("parts > 1").groupBy("k", "sum", "mixed").agg(F.min(F.struct("band", "bucket", "size", "top")).alias("first"))
+    mixed = alike.select("first.bucket", F.col("first.size").alias("whole"), F.col("first.top.component").alias("largest"), F.col("first.top.size").alias("inside"))
+    placed = members.join(mixed, "bucket")
+    columns = F.ceil(F.col("whole") / BLOCK).cast("int")
+    rows = F.ceil((F.col("whole") - F.col("inside")) / BLOCK).cast("int")
     few = F.col("component") != F.col("largest")
     row, column = F.pmod(F.xxhash64("node", F.lit(1)), rows).cast("int"), F.pmod(F.xxhash64("node"), columns).cast("int")
     place = lambda r, c: F.struct(r.alias("row"), c.alias("column"))
     as_many = F.transform(F.sequence(F.lit(0), rows - 1), lambda r: place(r, column))
     as_few = F.when(few, F.transform(F.sequence(F.lit(0), columns - 1), lambda c: place(row, c))).otherwise(F.array().cast("array<struct<row:int,column:int>>"))
-    dealt = placed.select("bucket", "node", "component", few.alias("few"), row.alias("own_row"), column.alias("own_column"), F.explode(F.array_union(as_many, as_few)).alias("at"))
+    dealt = placed.select("bucket", "band", "node", "component", few.alias("few"), row.alias("own_row"), column.alias("own_column"), F.explode(F.array_union(as_many, as_few)).alias("at"))
     dealt = dealt.select(
-        "bucket", "at.row", "at.column", "node", "component", (F.col("few") & (F.col("at.row") == F.col("own_row"))).alias("is_few"),
+        "bucket", "band", "at.row", "at.column", "node", "component", (F.col("few") & (F.col("at.row") == F.col("own_row"))).alias("is_few"),
         (F.col("at.column") == F.col("own_column")).alias("is_many"),
     )
     key = ["bucket", "row", "column"]
-    whole = dealt.join(bits, "node").join(texts, "node").select(*key, "node", "component", "is_few", "is_many", "bits", "text")
+    whole = dealt.join(nodes, "node").join(texts, "node").select(*key, "band", "node", "component", "is_few", "is_many", "bits", "bands", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _held(batches, key):
@@ -239,7 +251,7 @@ def near_groups(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     nodes = materialize(known.groupBy(*sets).agg(F.min(F.struct("doc_id", "bands", "bits")).alias("first")).select(
         *sets, "first.doc_id", "first.bands", "first.bits"
     ), "nodes").withColumnRenamed("doc_id", "node")
-    members = nodes.select("node", F.explode("bands").alias("bucket"))
+    members = nodes.select("node", F.col("n_shingles").alias("size"), F.posexplode("bands").alias("band", "bucket"))
     buckets = members.groupBy("bucket").agg(
         F.min("node").alias("hub"), F.min_by("node", F.xxhash64("node")).alias("second"), F.count(F.lit(1)).alias("n")
     ).where("n > 1")
@@ -256,8 +268,8 @@ def near_groups(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     # Rows that share an id are one document, whatever sets they have.
     joined = materialize(components(links), "joined")
     label = F.coalesce("component", F.col("node")).alias("component")
-    labelled = shared.select("bucket", "node").join(joined, "node", "left").select("bucket", "node", label)
-    more = _across(labelled, texts, bits, width)
+    labelled = shared.select("bucket", "band", "node", "size").join(joined, "node", "left").select("bucket", "band", "node", "size", label)
+    more = _across(labelled, texts, nodes.select("node", "bits", "bands"), width)
     final = materialize(components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "components")
     by_set = nodes.select(*sets, "node").join(final, "node", "left").select(*sets, label)
     by_set = by_set.groupBy(*sets).agg(F.min("component").alias("component"))
@@ -268,7 +280,7 @@ def near_groups(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def without_near_copies(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """The rows and columns of `docs` that are the first of their group, one row for each id; rows without an id stay."""
+    """The rows and columns of `docs` that are the first of their group: all rows of an id stay or go, and rows without an id stay."""
     names = docs.columns
     groups = near_groups(docs, width)
     gone = groups.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("gone")).distinct()
