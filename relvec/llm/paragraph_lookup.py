@@ -1,7 +1,8 @@
 """Document fingerprints: an invertible Bloom lookup sketch of paragraphs.
 
 A text is cut at line ends and after every sentence. A sentence longer than LONGEST is also cut after words, and a word
-longer than WORD after characters: each WINDOW of them in a row has a cut after the one with the least hash. So a piece
+longer than WORD after characters: each WINDOW of them in a row has a cut after the one with the least hash. A text of more than
+FEW such units is then joined to pieces of at most JOINED units in the same way. So a piece
 is bounded, and the same words are cut alike wherever they stand. The digest of each piece is added to one cell in each of three tables. A cell holds a count, the exclusive
 or of its digests and that of their check values. Subtracting the cells of two sketches cancels what the texts share;
 peeling takes a digest out of a cell that holds one only, until nothing is left. A sketch too small for its differences
@@ -10,7 +11,7 @@ can't be peeled to the end; then both are built larger.
 The base sketch is the fingerprint. Likeness is the share of pieces (of both texts) that don't differ. It is all built-in
 functions inside one row; only finding the next document moves rows.
 
-Defined cases: a null text is empty; empty texts have equal fingerprints and likeness 1; equal ids are ordered by a hash
+Defined cases: a character U+0001 ends a unit and is part of none; a null text is empty; empty texts have equal fingerprints and likeness 1; equal ids are ordered by a hash
 of their texts, and null ids come last; the next document of an only one is itself; other columns are never read; a long
 text only makes its own row's arrays longer.
 """
@@ -32,11 +33,14 @@ BASE_CELLS = 8  # in each table of the fingerprint
 LONGEST = 128  # characters of a sentence that is one piece
 WORD = 64  # characters of a word that is one unit
 WINDOW = 16  # units in a piece of a longer sentence or word, at most
+FEW, JOINED = 64, 8  # units that are pieces of their own; units in a piece of a longer text, at most
 SHINGLE = 8  # characters whose hash decides on a cut inside a long word
-GROUP = 32  # pieces (of both texts) that one part of a larger sketch holds, about
-ROUNDS = 30
+GROUP = 4  # pieces (of both texts) that one part of a larger sketch holds, about
+GROUP_CELLS = (6, 12, 24)  # cells in each table of such a part, first and where that fails
+ROUNDS, GROUP_ROUNDS = 30, 12
 RANGES_PER_PARTITION = 4
 _LOWEST = -(1 << 63)
+_CUT = "\x01"
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -56,13 +60,36 @@ def digests(text: Column) -> Column:
         )))))
 
     whole = F.coalesce(text, F.lit(""))
-    sentences = F.filter(F.split(whole, r"(?<=\n)|(?<=[.!?] )"), lambda u: u != "")
+    marked = whole
+    for border in ("\n", ". ", "! ", "? "):
+        marked = F.replace(marked, F.lit(border), F.lit(border + _CUT))
+    sentences = F.filter(F.split(marked, _CUT), lambda u: u != "")
     some_long = F.exists(sentences, lambda u: F.length(u) > LONGEST)
     pieces = _let(sentences, lambda u: F.when(some_long, F.flatten(F.transform(u, _bounded))).otherwise(u))
-    cut = _let(F.array_sort(F.transform(pieces, lambda u: F.xxhash64(u))), numbered)
+    hashes = _let(F.transform(pieces, lambda u: F.xxhash64(u)), lambda h: F.when(F.size(h) > FEW, _joined(h)).otherwise(h))
+    cut = _let(F.array_sort(hashes), lambda h: F.when(F.size(h) > 0, numbered(h)).otherwise(h))
     return F.when(whole == "", F.array().cast("array<long>")).otherwise(cut)
 
 
+def _ends(hashes: Column, window: int) -> Column:
+    """Places, from 0, of the least hash (the last of equal ones) of each `window` in a row, and the last place. At least `window` hashes."""
+    placed = F.transform(hashes, lambda h, i: F.named_struct(F.lit("h"), h, F.lit("i"), -i))
+    least = _let(placed, lambda p: F.transform(F.sequence(F.lit(0), F.size(p) - window), lambda j: -F.array_min(F.slice(p, j + 1, window))["i"]))
+    return F.array_distinct(F.concat(least, F.array(F.size(hashes) - 1)))
+
+
+def _between(ends: Column, use: Callable[[Column, Column], Column]) -> Column:
+    """`use(first place from 1, length)` of the stretch up to each end."""
+    return _let(ends, lambda c: F.transform(c, lambda end, k: _let(
+        F.when(k > 0, F.get(c, k - 1)).otherwise(-1), lambda before: use(before + 2, end - before)
+    )))
+
+
+def _joined(hashes: Column) -> Column:
+    """Hashes of pieces of at most JOINED units."""
+    return _between(_ends(hashes, JOINED), lambda start, n: F.xxhash64(F.slice(hashes, start, n)))
+
+
 def _bounded(sentence: Column) -> Column:
     """Pieces of one sentence."""
 
@@ -73,25 +100,20 @@ def _bounded(sentence: Column) -> Column:
         characters = F.filter(F.split(w, ""), lambda c: c != "")
         return F.when(F.length(w) <= WORD, F.array(w)).otherwise(_let(characters, lambda c: _cut(c, shingles(c))))
 
-    words = _let(F.split(sentence, r"(?<=\s)"), lambda u: F.when(F.exists(u, lambda w: F.length(w) > WORD), F.flatten(F.transform(u, word))).otherwise(u))
+    words = _let(F.split(F.replace(sentence, F.lit(" "), F.lit(" " + _CUT)), _CUT), lambda u: F.when(F.exists(u, lambda w: F.length(w) > WORD), F.flatten(F.transform(u, word))).otherwise(u))
     by_words = _let(F.filter(words, lambda w: w != ""), lambda u: _cut(u, F.transform(u, lambda w: F.xxhash64(w))))
     return F.when(F.length(sentence) <= LONGEST, F.array(sentence)).otherwise(by_words)
 
 
 def _cut(units: Column, hashes: Column) -> Column:
     """Units joined to pieces of at most WINDOW, that end after the least hash (the last of equal ones) of each WINDOW in a row."""
-    last = F.size(units) - 1
-    placed = F.transform(hashes, lambda h, i: F.named_struct(F.lit("h"), h, F.lit("i"), -i))
-    ends = _let(placed, lambda p: F.transform(F.sequence(F.lit(0), last + 1 - WINDOW), lambda j: -F.array_min(F.slice(p, j + 1, WINDOW))["i"]))
-    cut = _let(F.array_distinct(F.concat(ends, F.array(last))), lambda c: F.transform(c, lambda end, k: _let(
-        F.when(k > 0, F.get(c, k - 1)).otherwise(-1), lambda before: F.array_join(F.slice(units, before + 2, end - before), "")
-    )))
-    return F.when(last >= WINDOW, cut).otherwise(F.array(F.array_join(units, "")))
+    cut = _between(_ends(hashes, WINDOW), lambda start, n: F.array_join(F.slice(units, start, n), ""))
+    return F.when(F.size(units) > WINDOW, cut).otherwise(F.array(F.array_join(units, "")))
 
 
-def _keyed(digest: Column, cells: Column) -> list[Column]:
+def _keyed(digest: Column, cells: int) -> list[Column]:
     """A digest's check value and its cell in each table."""
-    places = [(F.pmod(F.xxhash64(digest, F.lit(t)), cells) + cells * t).cast("int").alias(f"p{t}") for t in range(TABLES)]
+    places = [(F.pmod(F.xxhash64(digest, F.lit(t)), F.lit(cells)) + cells * t).cast("int").alias(f"p{t}") for t in range(TABLES)]
     return [F.shiftrightunsigned(F.xxhash64(digest, F.lit("check")), 32).alias("c"), *places]
 
 
@@ -106,13 +128,24 @@ def _with(cell: Column, key: Column) -> Column:
     )
 
 
-def sketch(found: Column, cells: Column) -> Column:
-    """Array of TABLES * cells cells (n, d, c)."""
+def _signed(found: Column, sign: int) -> Column:
+    return F.transform(found, lambda d: F.struct(F.lit(sign).alias("n"), d.alias("d")))
+
+
+def _cells(signed: Column, cells: int) -> Column:
+    """Array of TABLES * cells cells (n, d, c) with all keys (n, d) added."""
     zero = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("d"), F.lit(0).cast("long").alias("c"))
-    keys = F.transform(found, lambda d: F.struct(F.lit(1).alias("n"), d.alias("d"), *_keyed(d, cells)))
-    return _let(keys, lambda k: F.transform(
-        F.sequence(F.lit(0), (cells * TABLES - 1).cast("int")), lambda i: F.aggregate(F.filter(k, lambda x: _holds(x, i)), zero, _with)
-    ))
+    keys = F.transform(signed, lambda k: F.struct(k["n"].alias("n"), k["d"].alias("d"), *_keyed(k["d"], cells)))
+
+    def table(k: Column, t: int) -> Column:
+        return F.transform(F.sequence(F.lit(t * cells), F.lit((t + 1) * cells - 1)), lambda i: F.aggregate(F.filter(k, lambda x: x[f"p{t}"] == i), zero, _with))
+
+    return _let(keys, lambda k: F.concat(*[table(k, t) for t in range(TABLES)]))
+
+
+def sketch(found: Column, cells: int) -> Column:
+    """Array of TABLES * cells cells (n, d, c)."""
+    return _cells(_signed(found, 1), cells)
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -121,7 +154,7 @@ def subtract(a: Column, b: Column) -> Column:
     ))
 
 
-def peel(cells: Column, size: Column) -> Column:
+def peel(cells: Column, size: int, rounds: int = ROUNDS) -> Column:
     """Digests that only one of the two texts has, or null if the sketch was too small for them."""
     start = F.struct(cells.alias("cells"), F.array().cast("array<bigint>").alias("out"), F.lit(True).alias("on"))
 
@@ -133,7 +166,10 @@ def peel(cells: Column, size: Column) -> Column:
     def step(state: Column, _: Column) -> Column:
         def without(k: Column) -> Column:
             cells = F.transform(state["cells"], lambda c, i: F.aggregate(F.filter(k, lambda x: _holds(x, i)), c, _with))
-            return F.struct(cells.alias("cells"), F.concat(state["out"], F.transform(k, lambda x: x["d"])).alias("out"), (F.size(k) > 0).alias("on"))
+            return F.struct(
+                F.when(F.size(k) > 0, cells).otherwise(state["cells"]).alias("cells"),
+                F.concat(state["out"], F.transform(k, lambda x: x["d"])).alias("out"), (F.size(k) > 0).alias("on"),
+            )
 
         return F.when(state["on"], _let(keys(state), without)).otherwise(state)
 
@@ -141,37 +177,43 @@ def peel(cells: Column, size: Column) -> Column:
         empty = F.forall(state["cells"], lambda c: (c["n"] == 0) & (c["d"] == 0) & (c["c"] == 0))
         return F.when(empty, state["out"])
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, result)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step, result)
 
 
 def differing(a: Column, b: Column, base_a: Column, base_b: Column) -> Column:
-    """Number of pieces that differ. The base sketches are tried first, then larger ones, at two sizes.
+    """Number of pieces that differ. The base sketches are tried first, then larger ones.
 
-    A larger sketch is a row of small ones, one for each GROUP pieces, by digest; so its cost follows the length of the
-    texts. A set of digests that no size can peel (chance only) is compared directly.
+    A larger sketch is a row of small ones, one for about GROUP pieces (of both texts) each, by digest; so its cost follows the
+    length of the texts. It is the difference of the texts' sketches, as subtracting is adding with the other sign. A small one that
+    can't be peeled is built again with twice the cells, twice; digests that none can peel (chance only) are compared directly.
     """
-    both = F.size(a) + F.size(b)
+    signed = F.concat(_signed(a, 1), _signed(b, -1))
+    groups = F.greatest(F.ceil((F.size(a) + F.size(b)) / GROUP).cast("int"), F.lit(1))
+
+    def in_group(keys: Column) -> Column:
+        tries = [_count(peel(_cells(keys, cells), cells, GROUP_ROUNDS)) for cells in GROUP_CELLS]
+        alone = F.filter(keys, lambda k: ~F.exists(keys, lambda x: (x["d"] == k["d"]) & (x["n"] != k["n"])))
+        return F.coalesce(*tries, F.size(alone))
 
-    def larger(factor: float) -> Column:
-        groups = F.greatest(F.ceil(both / GROUP).cast("int"), F.lit(1))
+    def larger(row: Column) -> Column:
+        """Digests are dealt to groups in two steps, so each is looked at about twice the root of their number."""
+        of = lambda k: F.pmod(k["d"], row["groups"])
+        width = F.ceil(F.sqrt(row["groups"])).cast("int")
 
-        def in_group(g: Column) -> Column:
-            own = [F.filter(x, lambda d: F.pmod(d, groups) == g) for x in (a, b)]
-            cells = lambda s: F.ceil((F.size(s["a"]) + F.size(s["b"])) * factor).cast("int") + BASE_CELLS
-            return _let(F.struct(own[0].alias("a"), own[1].alias("b")), lambda s: _let(
-                cells(s), lambda m: _let(peel(subtract(sketch(s["a"], m), sketch(s["b"], m)), m), _count)
-            ))
+        def chunk(c: Column) -> Column:
+            own = F.filter(row["keys"], lambda k: F.floor(of(k) / width) == c)
+            last = F.least((c + 1) * width, row["groups"]) - 1
+            return _let(own, lambda some: F.transform(F.sequence(c * width, last), lambda g: _let(F.filter(some, lambda k: of(k) == g), lambda k: F.when(F.size(k) > 0, in_group(k)).otherwise(0))))
 
-        every = F.transform(F.sequence(F.lit(0), groups - 1), in_group)
-        return _let(every, lambda c: F.when(~F.exists(c, lambda n: n.isNull()), F.aggregate(c, F.lit(0), lambda x, n: x + n)))
+        chunks = F.ceil(row["groups"] / width).cast("int")
+        return F.aggregate(F.flatten(F.transform(F.sequence(F.lit(0), chunks - 1), chunk)), F.lit(0), lambda x, n: x + n)
 
-    small = _let(peel(subtract(base_a, base_b), F.lit(BASE_CELLS)), _count)
-    direct = F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))
-    return F.coalesce(small, larger(0.6), larger(1.5), direct)
+    small = _count(peel(subtract(base_a, base_b), BASE_CELLS))
+    return F.coalesce(small, _let(F.struct(signed.alias("keys"), groups.alias("groups")), larger))
 
 
 def _count(found: Column) -> Column:
-    return F.when(found.isNotNull(), F.size(found))
+    return _let(found, lambda f: F.when(f.isNotNull(), F.size(f)))
 
 
 def likeness(a: Column, b: Column, base_a: Column, base_b: Column) -> Column:
@@ -221,7 +263,7 @@ def op4_paragraph_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "pieces", "next_pieces")
     rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "pieces", "next_pieces", digests(F.col("edited")).alias("edited_pieces"))
     for name in ("pieces", "edited_pieces", "next_pieces"):
-        rows = rows.withColumn(f"base_{name}", sketch(F.col(name), F.lit(BASE_CELLS)))
+        rows = rows.withColumn(f"base_{name}", sketch(F.col(name), BASE_CELLS))
     near = lambda other: likeness(F.col("pieces"), F.col(other), F.col("base_pieces"), F.col(f"base_{other}"))
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("base_pieces")).alias("fingerprint"),
