@@ -1,6 +1,7 @@
 """Operators on documents against plain versions of the same results."""
 
 import hashlib
+import random
 import re
 from collections import defaultdict
 
@@ -125,7 +126,7 @@ def test_next_document_and_likeness(docs, plain):
     for r in paragraph_lookup.with_next(docs).collect():
         assert r["next_text"] == after[r["doc_id"]]
     a, b = F.col("pieces"), F.col("next_pieces")
-    base = [paragraph_lookup.sketch(x, F.lit(paragraph_lookup.BASE_CELLS)) for x in (a, b)]
+    base = [paragraph_lookup.sketch(x, paragraph_lookup.BASE_CELLS) for x in (a, b)]
     counted = paragraph_lookup.differing(a, b, *base)
     for r in paragraph_lookup.with_next(docs).select(counted.alias("n"), "pieces", "next_pieces").collect():
         assert r["n"] == len(set(r["pieces"]) ^ set(r["next_pieces"]))
@@ -137,7 +138,7 @@ def test_fingerprint_defined_cases(spark, repeated, empty):
     one = spark.createDataFrame([(1, "a. b. c.")], "doc_id long, text string")
     assert paragraph_lookup.with_next(one).first()["next_text"] == "a. b. c."
     prints = spark.createDataFrame([(None,), ("",), ("x\nx\ny",), ("x\nx\ny",), ("x\ny",)], "text string").select(
-        paragraph_lookup.fingerprint(paragraph_lookup.sketch(paragraph_lookup.digests(F.col("text")), F.lit(8)))
+        paragraph_lookup.fingerprint(paragraph_lookup.sketch(paragraph_lookup.digests(F.col("text")), 8))
     )
     got = [r[0] for r in prints.collect()]
     assert got[0] == got[1] and got[2] == got[3] != got[4]
@@ -157,7 +158,7 @@ def test_pieces_are_bounded_without_line_and_sentence_ends(spark):
         rows += [(name, "tail", t, t[: len(t) - len(t) // 3] + other), (name, "inside", t, t[: len(t) // 2] + "zz " + t[len(t) // 2 :])]
     found = spark.createDataFrame(rows, "name string, edit string, a string, b string").repartition(1)
     found = found.select("name", "edit", "a", *[paragraph_lookup.digests(F.col(c)).alias(f"p{c}") for c in "ab"])
-    base = [paragraph_lookup.sketch(F.col(p), F.lit(paragraph_lookup.BASE_CELLS)) for p in ("pa", "pb")]
+    base = [paragraph_lookup.sketch(F.col(p), paragraph_lookup.BASE_CELLS) for p in ("pa", "pb")]
     for r in found.select("name", "edit", "a", "pa", "pb", paragraph_lookup.likeness(F.col("pa"), F.col("pb"), *base).alias("near")).collect():
         assert len(set(r["pa"])) == len(r["pa"]) >= len(r["a"]) / most
         assert r["near"] == pytest.approx(2 * len(set(r["pa"]) & set(r["pb"])) / (len(r["pa"]) + len(r["pb"])))
@@ -180,6 +181,12 @@ def test_pieces_are_lossless_and_reproducible(docs, repeated, empty):
     assert piece_sampling.encode(empty).count() == 0
 
 
+def test_round_trip_equals_encoding_and_decoding(repeated, docs, empty):
+    found = sorted(map(str, map(tuple, piece_sampling.round_trip(repeated).collect())))
+    assert found == sorted(str((*r, True)) for r in piece_sampling.encode(repeated).select("doc_id", "ids").collect())
+    assert piece_sampling.round_trip(docs).where("lossless").count() == docs.count() and piece_sampling.round_trip(empty).count() == 0
+
+
 def test_samples_follow_the_lattice():
     """Frequencies of a word's segmentations against all its paths, weighed one by one."""
     sampler = piece_sampling.Sampler()
@@ -290,10 +297,27 @@ def test_near_groups_equal_all_pairs(docs, plain, width):
 
 
 def test_near_groups_in_blocks(docs, plain, monkeypatch):
-    monkeypatch.setattr(odd_sketch, "BLOCK", 2)
+    monkeypatch.setattr(odd_sketch, "BLOCK", 100)
     assert {r["doc_id"]: r["component_id"] for r in odd_sketch.near_groups(docs, 5).collect()} == {i: c for i, (_, c) in groups(plain, 5).items()}
 
 
+def test_a_crowded_group_around_the_threshold(spark, monkeypatch):
+    """Copies of one text with 1 to 9 changed words: some link, many don't, and nearly all share buckets."""
+    rng = random.Random(8)
+    body = [str(rng.randrange(10**6)) for _ in range(150)]
+    rows = []
+    for i in range(500):
+        words = list(body)
+        for at in rng.sample(range(150), rng.randint(1, 9)):
+            words[at] = str(rng.randrange(10**6))
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, rows[i % 7][1]) for i in range(200)]
+    monkeypatch.setattr(odd_sketch, "BLOCK", 20_000)
+    found = {r["doc_id"]: r["component_id"] for r in odd_sketch.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 5).collect()}
+    want = {i: c for i, (_, c) in groups(rows, 5).items()}
+    assert found == want and 50 < sum(c == i for i, c in want.items()) < 450
+
+
 def test_near_copies_defined_cases(docs, plain, repeated, empty):
     left = odd_sketch.without_near_copies(docs)
     assert left.columns == docs.columns
