@@ -676,23 +676,21 @@ def mlp_scores(spark, sf):
 
 def _fit_trees(spark, sf):
     data = _training_rows(spark, sf, TrainingConfig("trees", MODEL_DIM))
-    ready = linear.with_ml_vector(data.rows, scale=False)
-    folder = scratch_path(spark, "trees")
     settings = trees.TreeSettings(rounds=10, depth=4, learning_rate=0.3)
-    known = trees.with_held_out(ready, "effective_sample_weight")
-    return trees.train_trees(known, K, settings, "effective_sample_weight", "_held", folder), ready, folder
+    known = trees.with_held_out(data.rows, "effective_sample_weight")
+    return trees.train_trees(known, K, settings, "effective_sample_weight", "_held"), data
 
 
 @query("gbt_scores")
 def gbt_scores(spark, sf):
-    model, ready, _ = _fit_trees(spark, sf)
-    return _scores(model.score(ready))
+    model, data = _fit_trees(spark, sf)
+    return _scores(model.score(data.rows))
 
 
 @query("tree_importance")
 def tree_importance(spark, sf):
-    _, _, folder = _fit_trees(spark, sf)
-    return linear.top_k(trees.tree_importance(spark, folder, K, V.feature_names(MODEL_DIM)), 30, ["gain", "weight"])
+    model, _ = _fit_trees(spark, sf)
+    return linear.top_k(trees.tree_importance(spark, model, V.feature_names(MODEL_DIM)), 30, ["gain", "weight"])
 
 
 @query("feature_importance_topk")
