@@ -59,11 +59,12 @@ JOIN dictionary q ON q.role = 'query' AND q.text = coalesce(i.query_text, '')
 JOIN dictionary u ON u.role = 'user' AND u.text = coalesce(i.user_profile_text, '')
 JOIN dictionary c ON c.role = 'candidate' AND c.text = coalesce(i.candidate_text, '')""",
     "with_vectors": """
-SELECT w.event_id, w.cold, q.v AS qv, u.v AS uv, c.v AS cv
-FROM with_ids w
-JOIN store q ON q.role = 'query' AND q.text_id = w.query_text_id
-JOIN store u ON u.role = 'user' AND u.text_id = w.user_text_id
-JOIN store c ON c.role = 'candidate' AND c.text_id = w.candidate_text_id""",
+SELECT w.event_id, any_value(w.cold) AS cold, any_value(s.v) FILTER (s.role = 'query') AS qv,
+       any_value(s.v) FILTER (s.role = 'user') AS uv, any_value(s.v) FILTER (s.role = 'candidate') AS cv
+FROM (SELECT event_id, cold, unnest(['query', 'user', 'candidate']) AS role,
+             unnest([query_text_id, user_text_id, candidate_text_id]) AS text_id FROM with_ids) w
+JOIN store s ON s.role = w.role AND s.text_id = w.text_id
+GROUP BY w.event_id""",
     "dots": """
 SELECT w.event_id, w.cold, d.dim,
        list_dot_product(CAST(qv[1:d.dim] AS DOUBLE[]), CAST(qv[1:d.dim] AS DOUBLE[])) AS qq,
@@ -242,9 +243,9 @@ SELECT w.event_id, w.user_id, w.search_id, w.profil_id, w.split, w.label, w.quer
        CAST(CASE WHEN w.cold THEN 0 ELSE 1 END AS TINYINT) AS embedding_user_available, {_FEATURE_COLUMNS}
 FROM with_ids w JOIN cosines c ON c.event_id = w.event_id GROUP BY 1, 2, 3, 4, 5, 6, 7, 8, 9, 10""")
 for _kind in ("qc", "uc", "qu", "quc"):
-    _add(f"cosine_{_kind}", f"SELECT event_id, dim, round({_kind}, 6) AS cosine FROM cosines")
+    _add(f"cosine_{_kind}", f"SELECT event_id, dim, any_value(round({_kind}, 6)) AS cosine FROM cosines GROUP BY event_id, dim")
 _add("prefix_dots_arrow", "SELECT event_id, dim, " + ", ".join(
-    f"CAST({p} AS BIGINT) AS {p}" for p in ("qq", "uu", "cc", "qc", "uc", "qu")) + " FROM dots")
+    f"CAST(any_value({p}) AS BIGINT) AS {p}" for p in ("qq", "uu", "cc", "qc", "uc", "qu")) + " FROM dots GROUP BY event_id, dim")
 _add("role_vectors_joined", f"""
 SELECT event_id, {_text('qv')} AS query_vector, {_text('uv')} AS user_vector, {_text('cv')} AS candidate_vector FROM with_vectors""")
 _add("zeroed_concat", f"""
