@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -13,7 +13,7 @@ from relvec.operators.encode import Encoder, encode_dictionary
 from relvec.operators.features import cosine_features, store_usage
 from relvec.operators.text_dictionary import completion, pending
 from relvec.schema import require_unique
-from relvec.session import exists, materialize
+from relvec.session import exists, materialize, scratch_path, shuffle_partitions
 from relvec.sources.tables import read_store, write_store
 
 
@@ -25,22 +25,33 @@ def _existing_store(spark: SparkSession, folder: str) -> DataFrame | None:
 
 
 def embed_pending(
-    spark: SparkSession, dictionary: DataFrame, folder: str, make_encoder: Callable[[], Encoder], dim: int, slices: int = 8
+    spark: SparkSession, dictionary: DataFrame, folder: str, make_encoder: Callable[[], Encoder], dim: int,
+    slices: int = 8, texts_per_commit: int = 1_000_000,
 ) -> int:
     """Append vectors for texts the store lacks; return how many there were. Nothing is written when none are.
 
-    Texts are embedded in slices by a hash of their key, and each slice is committed before the next one starts, so a job
-    that dies loses one slice at most. What a slice wrote is added to the progress table beside the store.
+    Pending texts are stored by slice, a hash of their key, and each slice is read, embedded and committed before the next one
+    starts. There are enough slices that none holds much more than `texts_per_commit` texts, so a job that dies loses that many
+    at most, however large the job. The rows a slice wrote are counted as they are written and added to the progress table
+    beside the store.
     """
     done = _existing_store(spark, folder)
     todo = materialize(dictionary if done is None else pending(dictionary, done), "pending")
-    part = F.pmod(F.xxhash64("role", "text_key"), F.lit(slices))
-    sizes = {r["part"]: r["count"] for r in todo.groupBy(part.alias("part")).count().collect()}
+    slices = max(slices, -(-todo.count() // texts_per_commit))
+    path = scratch_path(spark, "slices")
+    number = F.pmod(F.xxhash64("role", "text_key"), F.lit(slices)).cast("int")
+    todo.withColumn("_slice", number).repartition("_slice", F.pmod(F.hash("text_key"), F.lit(shuffle_partitions(spark)))).write.partitionBy("_slice").parquet(path)
+    stored = spark.read.parquet(path) if slices and todo.take(1) else todo.withColumn("_slice", number)
+    sizes = {r["_slice"]: r["count"] for r in stored.groupBy("_slice").count().collect()}  # one row per slice
+    finished = 0
     for i in sorted(sizes):
-        write_store(encode_dictionary(todo.where(part == i), make_encoder, dim), folder)
-        written = [(int(i), sizes[i], sum(sizes[j] for j in sizes if j <= i), sum(sizes.values()))]
+        seen = Observation(f"slice-{i}")
+        encoded = encode_dictionary(stored.where(F.col("_slice") == i).drop("_slice"), make_encoder, dim)
+        write_store(encoded.observe(seen, F.count(F.lit(1)).alias("texts")), folder)
+        finished += seen.get["texts"]
+        written = [(int(i), seen.get["texts"], finished, sum(sizes.values()))]
         spark.createDataFrame(written, PROGRESS_COLUMNS).coalesce(1).write.mode("append").parquet(f"{folder}_progress")
-    return sum(sizes.values())
+    return finished
 
 
 def embedding_progress(spark: SparkSession, dictionary: DataFrame, folder: str) -> DataFrame:
@@ -71,11 +82,17 @@ def feature_stream(
     used = store_usage(store)
 
     def write_batch(rows: DataFrame, number: int) -> None:
-        # Only hashes travel through the lookups; the wide rows move once.
-        features = cosine_features(rows, store, dims, used=used, once_per_triple=True)
-        features.withColumn("_batch", F.lit(number)).write.partitionBy("_batch", "split").mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic"
-        ).parquet(target)
+        # The batch is used twice, so it is stored; its files are read, and its rows counted, once. Only hashes travel
+        # through the lookups.
+        seen = Observation(f"batch-{number}")
+        features = cosine_features(materialize(rows, "batch"), store, dims, used=used, once_per_triple=True)
+        features.observe(seen, F.count(F.lit(1)).alias("rows")).withColumn("_batch", F.lit(number)).write.partitionBy(
+            "_batch", "split"
+        ).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(target)
+        # A repeated batch replaces its own row.
+        spark.createDataFrame([(number, seen.get["rows"])], "batch long, rows long").coalesce(1).write.mode("overwrite").parquet(
+            f"{target}_progress/number={number}"
+        )
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     return (
@@ -91,5 +108,13 @@ def read_stream_features(spark: SparkSession, target: str) -> DataFrame:
 
 
 def stream_progress(spark: SparkSession, query: StreamingQuery) -> DataFrame:
+    """Rows that each batch of one start read."""
     rows = [(int(p["batchId"]), int(p["numInputRows"])) for p in query.recentProgress]
     return spark.createDataFrame(rows, "batch long, rows long")
+
+
+def written_progress(spark: SparkSession, target: str) -> DataFrame:
+    """Rows that each batch wrote, over all starts, as counted while they were written."""
+    if not exists(spark, f"{target}_progress"):
+        return spark.createDataFrame([], "batch long, rows long")
+    return spark.read.parquet(f"{target}_progress").select("batch", "rows")

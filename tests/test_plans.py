@@ -127,3 +127,30 @@ def test_stream_processes_new_files_only(spark, tmp_path, small):
     assert go() == total - total // 2
     out = incremental.read_stream_features(spark, f"{folder}/out")
     assert out.count() == total == out.select("event_id").distinct().count()
+    progress = incremental.written_progress(spark, f"{folder}/out").collect()
+    assert sum(r.rows for r in progress) == total and len({r.batch for r in progress}) == len(progress) >= 2
+    assert incremental.written_progress(spark, f"{folder}/none").count() == 0
+
+
+def test_embedding_is_committed_slice_by_slice(spark, tmp_path, small):
+    dictionary = X.text_dictionary(X.interactions(spark, small)).where("role = 'candidate'")
+    folder, total, made = str(tmp_path / "v"), dictionary.count(), []
+    write = incremental.write_store
+
+    def broken(frame, path):
+        if len(made) == 3:
+            raise RuntimeError("lost")
+        write(frame, path)
+        made.append(1)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(incremental, "write_store", broken)
+        with pytest.raises(RuntimeError, match="lost"):
+            incremental.embed_pending(spark, dictionary, folder, lambda: HashEncoder(8), 8, slices=2, texts_per_commit=40)
+    kept = spark.read.parquet(folder).count()
+    progress = spark.read.parquet(folder + "_progress").collect()
+    assert kept == sum(r.texts for r in progress) == max(r.finished for r in progress) < total and len(progress) == 3
+    left = incremental.embed_pending(spark, dictionary, folder, lambda: HashEncoder(8), 8, slices=2, texts_per_commit=40)
+    stored = spark.read.parquet(folder)
+    assert left == total - kept and stored.count() == stored.select("text_key").distinct().count() == total
+    assert incremental.embed_pending(spark, dictionary, folder, lambda: HashEncoder(8), 8) == 0
