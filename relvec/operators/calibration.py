@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relvec.operators.metrics import scored
-from relvec.operators.ordered import running_sums
+from relvec.operators.ordered import join_by_range, running_sums
 from relvec.session import materialize
 
 
 def quantile_edges(points: DataFrame, by: Sequence[str], bins: int) -> DataFrame:
-    """Exact inner quantiles of a grouped value (`score`, `n`, `cum_n`), linear between neighbours.
+    """Exact inner quantiles of a grouped value (`score`, `n`, `cum_n`, by range), linear between neighbours.
 
     The k-th edge lies at position k * (rows - 1) / bins; whole-number arithmetic finds the two ranks around it, and
     the running count finds the value at a rank. No task sees all values of a group.
@@ -31,7 +31,7 @@ def quantile_edges(points: DataFrame, by: Sequence[str], bins: int) -> DataFrame
     # One row per evaluation with its 2 * (bins - 1) ranks; a point yields rows only for ranks that fall on it.
     ranks = wanted.groupBy(*by).agg(F.collect_list(F.struct("_k", "_t", "_side", "_rank")).alias("_ranks"))
     here = F.filter("_ranks", lambda r: (r["_rank"] < F.col("cum_n")) & (r["_rank"] >= F.col("cum_n") - F.col("n")))
-    hits = points.join(ranks, list(by)).select(*by, "score", F.inline(here))
+    hits = join_by_range(points, ranks, by).select(*by, "score", F.inline(here))
     pairs = hits.groupBy(*by, "_k", "_t").agg(
         F.max(F.when(F.col("_side") == 0, F.col("score"))).alias("_a"),
         F.max(F.when(F.col("_side") == 1, F.col("score"))).alias("_b"),
@@ -54,8 +54,8 @@ def calibration_bins(df: DataFrame, bins: int = 10, by: Sequence[str] = ("split"
         F.count(F.lit(1)).alias("n"), F.count_if("hit").alias("hits")
     )
     points = materialize(points, "confidences")
-    edges = quantile_edges(running_sums(points, by, "score", ["n"], descending=False, stored=True), by, bins)
-    binned = points.join(edges, by).withColumn(
+    ordered = running_sums(points, by, "score", ["n"], descending=False, stored=True, keep_range=True)
+    binned = join_by_range(ordered, quantile_edges(ordered, by, bins), by).withColumn(
         "bin", F.size(F.filter("edges", lambda e: e < F.col("score")))
     )
     return binned.groupBy(*by, "bin").agg(

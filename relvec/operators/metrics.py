@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from relvec.functions.probabilities import confidence, nll, top_class
 from relvec.functions.scalars import rounded
-from relvec.operators.ordered import running_sums
+from relvec.operators.ordered import join_by_range, running_sums
 from relvec.schema import FLOAT32_EPS, MIN_WEIGHT
 
 METRICS = (
@@ -117,9 +117,9 @@ def score_points(
     )
 
 
-def cumulative_hits(points: DataFrame, group: Sequence[str]) -> DataFrame:
+def cumulative_hits(points: DataFrame, group: Sequence[str], keep_range: bool = False) -> DataFrame:
     """Running positives and negatives at or above each score."""
-    return running_sums(points, group, "score", ["pos", "neg"])
+    return running_sums(points, group, "score", ["pos", "neg"], keep_range=keep_range)
 
 
 def areas(cumulative: DataFrame, group: Sequence[str]) -> DataFrame:
@@ -195,11 +195,13 @@ def weighted_cross_entropy(df: DataFrame, by: Sequence[str] = ("split",), weight
 
 def roc_curve_micro(df: DataFrame, num_classes: int, by: Sequence[str] = ("split",)) -> DataFrame:
     """Curve points over all (row, class) pairs, from the origin to (1, 1), with the area."""
-    points = cumulative_hits(score_points(df, num_classes, by, micro=True), by)
+    points = cumulative_hits(score_points(df, num_classes, by, micro=True), by, keep_range=True)
     totals = areas(points, by)
     zero = F.lit(0).cast(points.schema["cum_pos"].dataType)
     origin = totals.select(*by, F.lit(None).cast("double").alias("score"), zero.alias("cum_pos"), zero.alias("cum_neg"))
-    return points.select(*by, "score", "cum_pos", "cum_neg").unionByName(origin).join(totals, list(by)).select(
+    known = ["score", "cum_pos", "cum_neg", "positives", "negatives", "roc_auc"]
+    curve = join_by_range(points, totals, by).select(*by, *known).unionByName(origin.join(totals, list(by)).select(*by, *known))
+    return curve.select(
         *by, rounded(F.col("score")).alias("threshold"),
         rounded(F.try_divide("cum_neg", "negatives")).alias("fpr"), rounded(F.try_divide("cum_pos", "positives")).alias("tpr"),
         rounded(F.col("roc_auc")).alias("auc"),
@@ -208,10 +210,10 @@ def roc_curve_micro(df: DataFrame, num_classes: int, by: Sequence[str] = ("split
 
 def pr_curve_micro(df: DataFrame, num_classes: int, by: Sequence[str] = ("split",)) -> DataFrame:
     """Precision and recall at each distinct score, closed by (precision 1, recall 0), with average precision."""
-    points = cumulative_hits(score_points(df, num_classes, by, micro=True), by)
+    points = cumulative_hits(score_points(df, num_classes, by, micro=True), by, keep_range=True)
     totals = areas(points, by)
     one = F.lit(1.0)
-    body = points.join(totals, list(by)).select(
+    body = join_by_range(points, totals, by).select(
         *by, rounded(F.col("score")).alias("threshold"),
         F.coalesce(F.try_divide("cum_pos", F.col("cum_pos") + F.col("cum_neg")), F.lit(0.0)).alias("precision"),
         F.coalesce(F.try_divide("cum_pos", "positives"), one).alias("recall"), "average_precision",

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -47,17 +46,6 @@ def dense_ids(
 ROWS_PER_WINDOW = 1_000_000  # rows one window task is meant to sort
 
 
-def _with_bucket(points: DataFrame, score: str, buckets: int) -> DataFrame:
-    """Number scores by approximate quantiles of all points; equal scores share a bucket.
-
-    The edges only balance the work. They are at most `buckets` numbers, and any edges give the same sums.
-    """
-    shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets + 1)])
-    edges = points.agg(F.percentile_approx(score, shares, 8 * buckets)).first()[0] or []
-    splits = [float("-inf"), *sorted({float(e) for e in edges if e == e} or {0.0}), float("inf")]
-    return Bucketizer(splits=splits, inputCol=score, outputCol="_bucket", handleInvalid="keep").transform(points)
-
-
 def running_sums(
     points: DataFrame,
     group: Sequence[str],
@@ -66,26 +54,35 @@ def running_sums(
     descending: bool = True,
     rows_per_window: int = ROWS_PER_WINDOW,
     stored: bool = False,
+    keep_range: bool = False,
 ) -> DataFrame:
     """Add `cum_<value>` per group in score order. `points` holds each (group, score) once.
 
-    The points are stored first, unless the caller did: they are read several times, and their number decides how many
-    buckets are needed so that no window sorts much more than `rows_per_window` rows.
+    The points are stored first, unless the caller did, and then stored again by range of (group, score); their number decides how
+    many ranges there are, so that no window sorts much more than `rows_per_window` rows. Any bounds give the same sums, and
+    the plan doesn't grow with their number. `keep_range` keeps the number of a point's range, for `join_by_range`.
     """
     group = list(group)
     points = points if stored else materialize(points, "points")
-    buckets = points.count() // rows_per_window + 1
-    bucketed = _with_bucket(points, score, buckets)
-    score_order = F.desc(score) if descending else F.asc(score)
-    inside = W.partitionBy(*group, "_bucket").orderBy(score_order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    local = bucketed.select("*", *[F.sum(v).over(inside).alias(f"cum_{v}") for v in values])
-    totals = bucketed.groupBy(*group, "_bucket").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
-    bucket_order = F.desc("_bucket") if descending else F.asc("_bucket")
-    earlier = W.partitionBy(*group).orderBy(bucket_order).rowsBetween(W.unboundedPreceding, -1)
+    order = F.desc(score) if descending else F.asc(score)
+    parts = points.count() // rows_per_window + 1
+    # Bounds are sampled anew in every job, so ranges must be fixed once.
+    placed = materialize(points.repartitionByRange(parts, *group, order).withColumn("_range", F.spark_partition_id()), "ranges")
+    inside = W.partitionBy(*group, "_range").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    local = placed.select("*", *[F.sum(v).over(inside).alias(f"cum_{v}") for v in values])
+    totals = placed.groupBy(*group, "_range").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
+    earlier = W.partitionBy(*group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(
-        *group, "_bucket", *[F.coalesce(F.sum(f"_t_{v}").over(earlier), F.lit(0)).alias(f"_o_{v}") for v in values]
+        *group, "_range", *[F.coalesce(F.sum(f"_t_{v}").over(earlier), F.lit(0)).alias(f"_o_{v}") for v in values]
     )
-    joined = local.join(offsets, [*group, "_bucket"])
+    joined = local.join(offsets, [*group, "_range"])
     return joined.select(
-        *points.columns, *[(F.col(f"cum_{v}") + F.col(f"_o_{v}")).alias(f"cum_{v}") for v in values]
+        *points.columns, *["_range"] * keep_range, *[(F.col(f"cum_{v}") + F.col(f"_o_{v}")).alias(f"cum_{v}") for v in values]
     )
+
+
+def join_by_range(points: DataFrame, per_group: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Bring the one row of each group to its points (of `running_sums` with `keep_range`), range by range, so a group that
+    holds all points is no join key of all points."""
+    ranges = points.select(*group, "_range").distinct().join(per_group, list(group))
+    return points.join(ranges, [*group, "_range"])

@@ -187,3 +187,20 @@ def test_tall_and_wide_agree(spark):
     wide = M.evaluate_wide(frame(spark, y, p), 4)
     back = M.to_wide(M.to_tall(wide)).first().asDict()
     assert {k: v for k, v in wide.first().asDict().items() if k != "split"} == {k: v for k, v in back.items() if k != "split"}
+
+
+def test_points_are_not_joined_by_split_alone(spark):
+    """A split that holds all points must be no join key of theirs."""
+    rows = spark.range(400).select(F.lit("train").alias("split"), (F.col("id") % 3).cast("int").alias("label_id"), F.array(
+        *[((F.col("id") * m) % 97 / 97.0) for m in (3, 5, 7)]).alias("probs"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for out in (M.roc_curve_micro(rows, 3), M.pr_curve_micro(rows, 3), C.calibration_bins(rows)):
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            keys = [line.split("SortMergeJoin ")[1] for line in plan.splitlines() if "SortMergeJoin " in line]
+            assert any("_range" in k.split("]")[0] for k in keys), keys
+            assert out.count() > 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
