@@ -11,7 +11,7 @@ from relvec.functions import vectors as V
 from relvec.functions.scalars import cold_start, is_cold_text, user_available
 from relvec.operators.lookup import Usage, lookup, usage
 from relvec.operators.text_dictionary import with_text_keys
-from relvec.schema import COLD_START_TEXT, ROLE_ID, ROLES, require_columns
+from relvec.schema import COLD_START_TEXT, ROLE_ID, ROLES, require_columns, require_unique
 from relvec.session import materialize
 
 VECTOR = {role: f"{role}_vec" for role in ROLES}
@@ -37,7 +37,7 @@ def attach_vectors(rows: DataFrame, store: DataFrame, skip_user=None) -> DataFra
     Where `skip_user` is true no user vector is looked up, so the one text shared by all cold rows is no join key.
     """
     require_columns(rows, ROLE_ID.values(), "rows")
-    used = store_usage(store)
+    used = store_usage(store, "text_id")
     for role in _largest_first(used):
         wanted = ~skip_user if role == "user" and skip_user is not None else None
         entries = _role_entries(store, role, "text_id", ROLE_ID[role])
@@ -46,8 +46,9 @@ def attach_vectors(rows: DataFrame, store: DataFrame, skip_user=None) -> DataFra
     return rows
 
 
-def store_usage(store: DataFrame) -> dict[str, Usage]:
-    return usage(store, "source_count", "role")
+def store_usage(store: DataFrame, key: str = "text_key") -> dict[str, Usage]:
+    """How evenly the store is used. A key that occurs twice would multiply rows, so it is an error."""
+    return usage(require_unique(store, ["role", key], "store"), "source_count", "role")
 
 
 def attach_ids_and_vectors(rows: DataFrame, store: DataFrame, used: dict[str, Usage] | None = None) -> DataFrame:

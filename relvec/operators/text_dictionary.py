@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from relvec.functions.scalars import text_key, text_or_empty
 from relvec.operators.lookup import lookup, usage
 from relvec.operators.ordered import dense_ids
-from relvec.schema import ROLE_ID, ROLE_TEXT, ROLES, require_columns
+from relvec.schema import ROLE_ID, ROLE_TEXT, ROLES, require_columns, require_unique
 from relvec.session import materialize
 
 def role_texts(interactions: DataFrame, roles: Sequence[str] = ROLES) -> DataFrame:
@@ -48,9 +48,9 @@ def with_text_keys(interactions: DataFrame, roles: Sequence[str] = ROLES) -> Dat
 
 
 def attach_text_ids(interactions: DataFrame, dictionary: DataFrame, roles: Sequence[str] = ROLES) -> DataFrame:
-    """Add one id column per role. Joins compare 64-character keys, never the texts."""
+    """Add one id column per role. Joins compare 64-character keys, never the texts; a key that occurs twice is an error."""
     out = with_text_keys(interactions, roles)
-    used = usage(dictionary, "source_count", "role")
+    used = usage(require_unique(dictionary, ["role", "text_key"], "dictionary"), "source_count", "role")
     for role in roles:
         entries = dictionary.where(F.col("role") == role).select(
             F.col("text_key").alias(f"{role}_text_key"), F.col("text_id").alias(ROLE_ID[role]), "source_count"

@@ -171,3 +171,19 @@ def test_store_resumes_with_new_texts_only(spark, tmp_path):
     assert stored.count() == 5 == stored.select("role", "text_key").distinct().count()
     vector = stored.join(spark.createDataFrame([("a",)], "t string").select(text_key("t").alias("text_key")), "text_key").first()
     assert list(vector.embedding) == encode.HashEncoder(8).encode(["a"])[0].tolist()
+
+
+def test_a_repeated_key_fails_where_ids_are_joined(spark, small):
+    from relvec import fixtures as X
+    from relvec.operators.features import attach_ids_and_vectors, attach_vectors
+
+    rows, store = X.interactions_and_store(spark, small)
+    dictionary = store.drop("embedding")
+    repeated = dictionary.unionByName(dictionary.where("role = 'user' and text_id = 1"))
+    with pytest.raises(ValueError, match="dictionary repeats keys"):
+        TD.attach_text_ids(rows, repeated)
+    twice = store.unionByName(store.where("role = 'query' and text_id = 0"))
+    for attach in (attach_ids_and_vectors, attach_vectors):
+        ready = TD.attach_text_ids(rows, dictionary)
+        with pytest.raises(ValueError, match="store repeats keys"):
+            attach(ready, twice)
