@@ -85,13 +85,15 @@ def cosine_features(
     arrow: bool = True,
     used: dict[str, Usage] | None = None,
 ) -> DataFrame:
-    """Interactions with text ids, availability flag and cosines; every input column passes through.
+    """Interactions with text ids, availability flag and cosines; every input column passes through but for text keys, which
+    are computed where they are missing.
 
     With `once_per_triple` each distinct (query, user, candidate) is computed once: only text hashes travel through the
     three lookups, copies are absorbed by the first partial count, and the wide rows are shuffled once, when the stored
     features come back. It needs no row id. Choose it when rows are wide or repeat.
     """
-    keyed = with_text_keys(interactions)
+    named = {f"{role}_text_key" for role in ROLES} <= set(interactions.columns)
+    keyed = interactions if named else with_text_keys(interactions)
     cold = F.col("user_text_key") == F.sha2(F.lit(COLD_START_TEXT), 256)
     if not once_per_triple:
         rows = attach_ids_and_vectors(keyed.withColumn("_is_cold", cold), store, used)
