@@ -2,10 +2,11 @@
 
 import numpy as np
 import pytest
+from oracle_check import compare, connect
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from __spark_entry__ import queries
+from __spark_entry__ import oracle_sql, queries
 from relvec.llm import adaptive_scan, components, registry, toxicity
 
 
@@ -108,7 +109,12 @@ def test_pipeline_runs_over_documents(spark, small):
     assert out.join(labels, "doc_id", "left_semi").select("doc_id").distinct().count() < labels.count()
 
 
-@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+@pytest.mark.parametrize("name", sorted(registry.ORACLE))
+def test_registered_queries_match_their_sql(spark, small, name):
+    assert compare(queries()[name](spark, small), connect(small), oracle_sql()[name]) is None
+
+
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE)))
 def test_registered_queries_return_every_document(spark, small, name):
     out = queries()[name](spark, small)
     rows = out.collect()
