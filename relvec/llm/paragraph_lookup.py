@@ -8,8 +8,9 @@ or of its digests and that of their check values. Subtracting the cells of two s
 peeling takes a digest out of a cell that holds one only, until nothing is left. A sketch too small for its differences
 can't be peeled to the end; then both are built larger.
 
-The base sketch is the fingerprint. Likeness is the share of pieces (of both texts) that don't differ. It is all built-in
-functions inside one row; only finding the next document moves rows.
+The base sketch is the fingerprint. Likeness is the share of pieces (of both texts) that don't differ. For a whole table the larger
+sketches are aggregates: a cell is one group of its document, part of the sketch and place, so none that no digest falls into is made,
+and their groups stand where the documents do. Only finding the next document and bringing its counts back move rows.
 
 Defined cases: a character U+0001 ends a unit and is part of none; a null text is empty; empty texts have equal fingerprints and likeness 1; equal ids are ordered by a hash
 of their texts, and null ids come last; the next document of an only one is itself; other columns are never read; a long
@@ -37,6 +38,7 @@ FEW, JOINED = 64, 8  # units that are pieces of their own; units in a piece of a
 SHINGLE = 8  # characters whose hash decides on a cut inside a long word
 GROUP = 4  # pieces (of both texts) that one part of a larger sketch holds, about
 GROUP_CELLS = (6, 12, 24)  # cells in each table of such a part, first and where that fails
+SPARSE_CELLS = 64  # the same where a sketch is an aggregate and cells without a digest cost nothing
 ROUNDS, GROUP_ROUNDS = 30, 12
 RANGES_PER_PARTITION = 4
 _LOWEST = -(1 << 63)
@@ -180,6 +182,17 @@ def peel(cells: Column, size: int, rounds: int = ROUNDS) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step, result)
 
 
+def _groups(a: Column, b: Column) -> Column:
+    return F.greatest(F.ceil((F.size(a) + F.size(b)) / GROUP).cast("int"), F.lit(1))
+
+
+def _in_group(keys: Column) -> Column:
+    """Number of digests that differ in one part of a larger sketch, given its keys (n, d)."""
+    tries = [_count(peel(_cells(keys, cells), cells, GROUP_ROUNDS)) for cells in GROUP_CELLS]
+    alone = F.filter(keys, lambda k: ~F.exists(keys, lambda x: (x["d"] == k["d"]) & (x["n"] != k["n"])))
+    return F.coalesce(*tries, F.size(alone))
+
+
 def differing(a: Column, b: Column, base_a: Column, base_b: Column) -> Column:
     """Number of pieces that differ. The base sketches are tried first, then larger ones.
 
@@ -188,12 +201,7 @@ def differing(a: Column, b: Column, base_a: Column, base_b: Column) -> Column:
     can't be peeled is built again with twice the cells, twice; digests that none can peel (chance only) are compared directly.
     """
     signed = F.concat(_signed(a, 1), _signed(b, -1))
-    groups = F.greatest(F.ceil((F.size(a) + F.size(b)) / GROUP).cast("int"), F.lit(1))
-
-    def in_group(keys: Column) -> Column:
-        tries = [_count(peel(_cells(keys, cells), cells, GROUP_ROUNDS)) for cells in GROUP_CELLS]
-        alone = F.filter(keys, lambda k: ~F.exists(keys, lambda x: (x["d"] == k["d"]) & (x["n"] != k["n"])))
-        return F.coalesce(*tries, F.size(alone))
+    groups = _groups(a, b)
 
     def larger(row: Column) -> Column:
         """Digests are dealt to groups in two steps, so each is looked at about twice the root of their number."""
@@ -203,7 +211,7 @@ def differing(a: Column, b: Column, base_a: Column, base_b: Column) -> Column:
         def chunk(c: Column) -> Column:
             own = F.filter(row["keys"], lambda k: F.floor(of(k) / width) == c)
             last = F.least((c + 1) * width, row["groups"]) - 1
-            return _let(own, lambda some: F.transform(F.sequence(c * width, last), lambda g: _let(F.filter(some, lambda k: of(k) == g), lambda k: F.when(F.size(k) > 0, in_group(k)).otherwise(0))))
+            return _let(own, lambda some: F.transform(F.sequence(c * width, last), lambda g: _let(F.filter(some, lambda k: of(k) == g), lambda k: F.when(F.size(k) > 0, _in_group(k)).otherwise(0))))
 
         chunks = F.ceil(row["groups"] / width).cast("int")
         return F.aggregate(F.flatten(F.transform(F.sequence(F.lit(0), chunks - 1), chunk)), F.lit(0), lambda x, n: x + n)
@@ -216,6 +224,55 @@ def _count(found: Column) -> Column:
     return _let(found, lambda f: F.when(f.isNotNull(), F.size(f)))
 
 
+def sparse_differences(rows: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """(range, row, many0, failed0, many1, ..): digests that differ between each pair of columns, without those of failed groups.
+
+    `rows` has range, row (which names a row) and the columns of `pairs`, and is partitioned by range, so nothing moves. A group's
+    sketch is peeled once: a digest is found where it is alone in a cell of one table at least. When the digests found make up the
+    whole of a table, none is missing; otherwise the group failed and `retried` builds it anew. Rows without any digest are left out.
+    """
+    p = len(pairs)
+
+    def keys(i: int, a: Column, b: Column) -> Column:
+        groups = _groups(a, b)
+        return F.transform(F.concat(_signed(a, 1), _signed(b, -1)), lambda k: F.struct(
+            (F.pmod(k["d"], groups) * p + i).alias("part"), k["n"].alias("n"), k["d"].alias("d")
+        ))
+
+    found = rows.select("range", "row", F.explode(F.concat(*[keys(i, F.col(a), F.col(b)) for i, (a, b) in enumerate(pairs)])).alias("k"))
+    check, *places = _keyed(F.col("d"), SPARSE_CELLS)
+    found = found.select("range", "row", "k.*").select("range", "row", "part", "n", "d", check, F.explode(F.array(*places)).alias("place"))
+    part = ["range", "row", "part"]
+    cells = found.groupBy(*part, "place").agg(F.sum("n").alias("n"), F.bit_xor("d").alias("d"), F.bit_xor("c").alias("c"))
+    alone = (F.abs("n") == 1) & (F.col("c") == _keyed(F.col("d"), SPARSE_CELLS)[0])
+    cells = cells.select(*part, "n", "d", "c", F.when(alone, F.col("d")).alias("key"), (F.col("place") < SPARSE_CELLS).alias("first"))
+    # A digest may be alone in several tables. The first table holds each digest once.
+    single = cells.groupBy(*part, "key").agg(
+        *[F.sum(F.when(F.col("first"), F.col("n"))).alias("n")], *[F.bit_xor(F.when(F.col("first"), F.col(x))).alias(x) for x in "dc"], F.max("n").alias("side")
+    )
+    zero = lambda x: F.coalesce(x, F.lit(0))
+    has_key = F.col("key").isNotNull()
+    whole = (
+        (zero(F.sum("n")) == zero(F.sum(F.when(has_key, F.col("side")))))
+        & (zero(F.bit_xor("d")) == zero(F.bit_xor("key")))
+        & (zero(F.bit_xor("c")) == zero(F.bit_xor(F.when(has_key, _keyed(F.col("key"), SPARSE_CELLS)[0]))))
+    )
+    parts = single.groupBy(*part).agg(F.count("key").alias("many"), whole.alias("whole"))
+    of = lambda i, x: F.when(F.pmod("part", F.lit(p)) == i, x)
+    return parts.groupBy("range", "row").agg(*[c for i in range(p) for c in (
+        F.sum(of(i, F.when(F.col("whole"), F.col("many")).otherwise(0))).alias(f"many{i}"),
+        F.collect_list(of(i, F.when(~F.col("whole"), F.floor(F.col("part") / p)))).alias(f"failed{i}"),
+    )])
+
+
+def retried(a: Column, b: Column, failed: Column) -> Column:
+    """Number of digests that differ in the failed groups, whose sketches are built anew, larger and larger."""
+    groups = _groups(a, b)
+    own = F.filter(F.concat(_signed(a, 1), _signed(b, -1)), lambda k: F.array_contains(failed, F.pmod(k["d"], groups)))
+    each = lambda keys: F.transform(failed, lambda g: _let(F.filter(keys, lambda k: F.pmod(k["d"], groups) == g), _in_group))
+    return F.when(F.size(failed) > 0, F.aggregate(_let(own, each), F.lit(0), lambda x, n: x + n)).otherwise(0)
+
+
 def likeness(a: Column, b: Column, base_a: Column, base_b: Column) -> Column:
     both = F.size(a) + F.size(b)
     return F.when(both == 0, F.lit(1.0)).otherwise(1.0 - differing(a, b, base_a, base_b) / both)
@@ -225,8 +282,9 @@ def fingerprint(cells: Column) -> Column:
     return F.array_join(F.transform(cells, lambda c: F.concat_ws(".", F.hex(c["n"].cast("long")), F.hex(c["d"]), F.hex(c["c"]))), "-")
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, next_text, next_pieces, pieces): each document beside the next one by falling id, the first after the last.
+def with_next(docs: DataFrame, sketched: bool = False) -> DataFrame:
+    """(range, row, doc_id, text, pieces, next_text, next_pieces): each document beside the next one by falling id, the first after the
+    last; `row` names a row. If `sketched`, also base_pieces and next_base_pieces, their base sketches.
 
     Ids are cut into ranges by approximate quantiles. The first document of a range is also sent to the range before, so
     texts are shuffled once, and the driver sees one id and hash for each range.
@@ -249,25 +307,44 @@ def with_next(docs: DataFrame) -> DataFrame:
     dealt = rows.join(F.broadcast(guests), ["id", "tie"], "left").select(
         "doc_id", "id", "tie", "text", digests(F.col("text")).alias("pieces"), F.explode(F.array_compact(F.array(own, extra))).alias("to")
     )
-    by = W.partitionBy("to.range").orderBy("to.guest", F.desc("id"), F.desc("tie"))
-    beside = dealt.select("*", F.lead("text").over(by).alias("next_text"), F.lead("pieces").over(by).alias("next_pieces"))
-    return beside.where(~F.col("to.guest")).select("doc_id", "text", "next_text", "pieces", "next_pieces")
+    dealt = dealt.select("doc_id", "id", "tie", "text", "pieces", F.col("to.range").cast("int").alias("range"), "to.guest").repartition("range")
+    if sketched:
+        dealt = dealt.withColumn("base_pieces", sketch(F.col("pieces"), BASE_CELLS))
+    by = W.partitionBy("range").orderBy("guest", F.desc("id"), F.desc("tie"), "doc_id")
+    told = ["text", "pieces", *(["base_pieces"] if sketched else [])]
+    number = F.col("range").cast("long") * (1 << 40) + F.row_number().over(by)
+    beside = dealt.select("*", number.alias("row"), *[F.lead(name).over(by).alias(f"next_{name}") for name in told])
+    return beside.where(~F.col("guest")).select("range", "row", "doc_id", *told, *[f"next_{name}" for name in told])
 
 
 def op4_paragraph_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of every document and of its edited text, and how near they and the next document's are."""
-    rows = with_next(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """Fingerprints of every document and of its edited text, and how near they and the next document's are.
+
+    The documents are dealt to ranges once. One branch makes the fingerprints and peels them, the other the larger sketches.
+    """
+    sketched = with_next(spark.read.parquet(f"{sf_dir}/documents.parquet"), sketched=True)
+    plain = sketched.drop("base_pieces", "next_base_pieces")
     n = F.length("text")
     changed = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - changed), F.substring("next_text", F.lit(1), changed))
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "pieces", "next_pieces")
-    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "pieces", "next_pieces", digests(F.col("edited")).alias("edited_pieces"))
-    for name in ("pieces", "edited_pieces", "next_pieces"):
-        rows = rows.withColumn(f"base_{name}", sketch(F.col(name), BASE_CELLS))
-    near = lambda other: likeness(F.col("pieces"), F.col(other), F.col("base_pieces"), F.col(f"base_{other}"))
+    pairs = [("pieces", "edited_pieces"), ("pieces", "next_pieces")]
+    counts = sparse_differences(plain.select("range", "row", "pieces", "next_pieces", digests(edited).alias("edited_pieces")), pairs).drop("range")
+    rows = sketched.select("row", "doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "pieces", "next_pieces", "base_pieces", F.col("next_base_pieces").alias("base_next_pieces"))
+    rows = rows.withColumn("edited_pieces", digests(F.col("edited"))).withColumn("edited", F.unhex(F.sha2("edited", 256)))
+    rows = rows.withColumn("base_edited_pieces", sketch(F.col("edited_pieces"), BASE_CELLS))
+    for i, (a, b) in enumerate(pairs):
+        rows = rows.withColumn(f"small{i}", _count(peel(subtract(F.col(f"base_{a}"), F.col(f"base_{b}")), BASE_CELLS)))
+    rows = rows.drop("base_next_pieces").join(counts, "row", "left")
+
+    def near(i: int) -> Column:
+        a, b = (F.col(name) for name in pairs[i])
+        both = F.size(a) + F.size(b)
+        larger = F.col(f"many{i}") + retried(a, b, F.col(f"failed{i}"))
+        return F.when(both == 0, F.lit(1.0)).otherwise(1.0 - F.coalesce(F.col(f"small{i}"), larger) / both)
+
     return rows.select(
-        "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("base_pieces")).alias("fingerprint"),
-        fingerprint(F.col("base_edited_pieces")).alias("edited_fingerprint"), near("edited_pieces").alias("near_edited"), near("next_pieces").alias("near_next"),
+        "doc_id", "n_chars", F.lower(F.hex("edited")).alias("edited_sha256"), fingerprint(F.col("base_pieces")).alias("fingerprint"),
+        fingerprint(F.col("base_edited_pieces")).alias("edited_fingerprint"), near(0).alias("near_edited"), near(1).alias("near_next"),
     )
 
 

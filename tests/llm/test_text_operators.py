@@ -132,6 +132,33 @@ def test_next_document_and_likeness(docs, plain):
         assert r["n"] == len(set(r["pieces"]) ^ set(r["next_pieces"]))
 
 
+def test_sparse_sketches_find_what_differs(docs, repeated, empty, monkeypatch):
+    """Sketches as aggregates count as sets do, also where small cells make groups fail and the retry finds the rest."""
+    pairs = [("pieces", "next_pieces"), ("next_pieces", "next_pieces")]
+    for cells in (paragraph_lookup.SPARSE_CELLS, 2):
+        monkeypatch.setattr(paragraph_lookup, "SPARSE_CELLS", cells)
+        failures = 0
+        for frame in (docs, repeated, empty):
+            rows = paragraph_lookup.with_next(frame).select("range", "row", "pieces", "next_pieces")
+            assert rows.select("row").distinct().count() == rows.count() == frame.count()
+            counts = paragraph_lookup.sparse_differences(rows, pairs).drop("range")
+            again = paragraph_lookup.retried(F.col("pieces"), F.col("next_pieces"), F.col("failed0"))
+            for r in rows.join(counts, "row", "left").select("*", again.alias("again")).collect():
+                if r["pieces"] or r["next_pieces"]:
+                    assert r["many0"] + r["again"] == len(set(r["pieces"]) ^ set(r["next_pieces"]))
+                    assert r["many1"] in (0, None) and not r["failed1"]
+                    failures += len(r["failed0"])
+        assert failures or cells != 2
+
+
+def test_sketches_stay_where_the_documents_are(spark, docs):
+    """The larger sketches move no rows: their aggregates use the ranges that documents were dealt to."""
+    rows = paragraph_lookup.with_next(docs).select("range", "row", "pieces", "next_pieces")
+    plan = paragraph_lookup.sparse_differences(rows, [("pieces", "next_pieces")])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 def test_fingerprint_defined_cases(spark, repeated, empty):
     assert paragraph_lookup.with_next(repeated).count() == repeated.count()
     assert paragraph_lookup.with_next(empty).count() == 0
