@@ -38,9 +38,9 @@ FEW, JOINED = 64, 8  # units that are pieces of their own; units in a piece of a
 SHINGLE = 8  # characters whose hash decides on a cut inside a long word
 GROUP = 4  # pieces (of both texts) that one part of a larger sketch holds, about
 GROUP_CELLS = (6, 12, 24)  # cells in each table of such a part, first and where that fails
-SPARSE_CELLS = 64  # the same where a sketch is an aggregate and cells without a digest cost nothing
+SPARSE_TABLES, SPARSE_CELLS = 2, 256  # tables and cells in each where a sketch is an aggregate, and cells without a digest cost nothing
 ROUNDS, GROUP_ROUNDS = 30, 12
-RANGES_PER_PARTITION = 4
+RANGES_PER_PARTITION = 8
 _LOWEST = -(1 << 63)
 _CUT = "\x01"
 
@@ -232,6 +232,7 @@ def sparse_differences(rows: DataFrame, pairs: list[tuple[str, str]]) -> DataFra
     whole of a table, none is missing; otherwise the group failed and `retried` builds it anew. Rows without any digest are left out.
     """
     p = len(pairs)
+    size = SPARSE_TABLES * SPARSE_CELLS
 
     def keys(i: int, a: Column, b: Column) -> Column:
         groups = _groups(a, b)
@@ -239,16 +240,21 @@ def sparse_differences(rows: DataFrame, pairs: list[tuple[str, str]]) -> DataFra
             (F.pmod(k["d"], groups) * p + i).alias("part"), k["n"].alias("n"), k["d"].alias("d")
         ))
 
-    found = rows.select("range", "row", F.explode(F.concat(*[keys(i, F.col(a), F.col(b)) for i, (a, b) in enumerate(pairs)])).alias("k"))
     check, *places = _keyed(F.col("d"), SPARSE_CELLS)
-    found = found.select("range", "row", "k.*").select("range", "row", "part", "n", "d", check, F.explode(F.array(*places)).alias("place"))
+    found = rows.select("range", "row", F.explode(F.concat(*[keys(i, F.col(a), F.col(b)) for i, (a, b) in enumerate(pairs)])).alias("k"))
+    slots = [F.col("part") * size + place for place in places[:SPARSE_TABLES]]
+    found = found.select("range", "row", "k.*").select("range", "row", "n", "d", check, F.explode(F.array(*slots)).alias("slot"))
+    cells = found.groupBy("range", "row", "slot").agg(F.sum("n").alias("n"), F.bit_xor("d").alias("d"), F.bit_xor("c").alias("c"))
+    alone = (F.abs("n") == 1) & (F.col("c") == check)
+    place = F.pmod("slot", F.lit(size))
     part = ["range", "row", "part"]
-    cells = found.groupBy(*part, "place").agg(F.sum("n").alias("n"), F.bit_xor("d").alias("d"), F.bit_xor("c").alias("c"))
-    alone = (F.abs("n") == 1) & (F.col("c") == _keyed(F.col("d"), SPARSE_CELLS)[0])
-    cells = cells.select(*part, "n", "d", "c", F.when(alone, F.col("d")).alias("key"), (F.col("place") < SPARSE_CELLS).alias("first"))
+    cells = cells.select(
+        "range", "row", ((F.col("slot") - place) / size).cast("long").alias("part"), "n", "d", "c",
+        F.when(alone, F.col("d")).alias("key"), (place < SPARSE_CELLS).alias("first"),
+    )
     # A digest may be alone in several tables. The first table holds each digest once.
     single = cells.groupBy(*part, "key").agg(
-        *[F.sum(F.when(F.col("first"), F.col("n"))).alias("n")], *[F.bit_xor(F.when(F.col("first"), F.col(x))).alias(x) for x in "dc"], F.max("n").alias("side")
+        F.sum(F.when(F.col("first"), F.col("n"))).alias("n"), *[F.bit_xor(F.when(F.col("first"), F.col(x))).alias(x) for x in "dc"], F.max("n").alias("side")
     )
     zero = lambda x: F.coalesce(x, F.lit(0))
     has_key = F.col("key").isNotNull()
