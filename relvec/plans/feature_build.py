@@ -15,7 +15,8 @@ from relvec.operators.text_dictionary import text_dictionary
 from relvec.schema import parse_prefix_dims
 from relvec.session import exists
 from relvec.sources.records import append_run_record
-from relvec.sources.tables import read_splits, read_store, write_features, write_store
+from relvec.sources.bucketed import write_bucketed_store
+from relvec.sources.tables import read_splits, read_store, write_features
 from relvec.streaming.incremental import embed_pending
 
 
@@ -59,9 +60,10 @@ def build(
     dictionary.write.mode("overwrite").partitionBy("role").parquet(f"{output_dir}/texts")
     dictionary = spark.read.parquet(f"{output_dir}/texts")
     embedded = embed_pending(spark, dictionary, f"{output_dir}/vectors", make_encoder, full_dim)
-    # Vectors are kept by text; ids and counts follow the current dictionary, so the store is joined anew.
+    # Vectors are kept by text; ids and counts follow the current dictionary, so the store is joined anew. It is bucketed, so
+    # the lookups of no split move it.
     vectors = read_store(spark, f"{output_dir}/vectors").select("role", "text_key", "embedding")
-    write_store(dictionary.drop("text").join(vectors, ["role", "text_key"]), f"{output_dir}/store", "overwrite")
+    write_bucketed_store(dictionary.drop("text").join(vectors, ["role", "text_key"]), f"{output_dir}/store", "overwrite")
     store = read_store(spark, f"{output_dir}/store")
     wanted = _fingerprints(rows, dictionary, dims, name, vectors)
     finished = _finished(spark, f"{output_dir}/features_done")

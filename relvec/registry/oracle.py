@@ -199,6 +199,9 @@ _add("feature_split_roundtrip", """
 SELECT w.event_id, w.split, w.query_text_id, w.user_text_id, w.candidate_text_id, @FEATURES@
 FROM with_ids w JOIN cosines c ON c.event_id = w.event_id GROUP BY 1, 2, 3, 4, 5""".replace("@FEATURES@", _FEATURE_COLUMNS))
 _add("store_roundtrip", f"SELECT role, text_id, source_count, {_text('v')} AS embedding FROM store")
+_add("bucketed_lookup", f"""
+SELECT v.event_id, query_text_id, user_text_id, candidate_text_id, {_text('qv')} AS query_vec, {_text('uv')} AS user_vec,
+       {_text('cv')} AS candidate_vec FROM with_vectors v JOIN with_ids i ON i.event_id = v.event_id""")
 _add("metrics_wide", """
 SELECT g AS split, CAST("count" AS DOUBLE) AS "count", CAST(num_classes AS DOUBLE) AS num_classes, logloss, accuracy, balanced_accuracy,
        precision_macro, recall_macro, f1_macro, f1_weighted, roc_auc_ovr_macro, pr_auc_ovr_macro FROM metrics""")

@@ -24,7 +24,7 @@ from relvec.plans import ablation
 from relvec.plans.training import TrainingConfig, prepare
 from relvec.schema import LABEL_ORDER, ROLE_TEXT, ROLES, SPLITS
 from relvec.session import materialize, scratch_path
-from relvec.sources import records, responses, tables
+from relvec.sources import bucketed, records, responses, tables
 from relvec.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,6 +93,20 @@ def store_roundtrip(spark, sf):
     )
 
 
+@query("bucketed_lookup")
+def bucketed_lookup(spark, sf):
+    """Ids and vectors of every interaction from a bucketed store, written role by role."""
+    rows, store = X.interactions_and_store(spark, sf)
+    folder = scratch_path(spark, "store")
+    for role in ROLES:
+        bucketed.write_bucketed_store(store.where(F.col("role") == role), folder)
+    found = FE.attach_ids_and_vectors(TD.with_text_keys(rows), tables.read_store(spark, folder))
+    return found.select(
+        "event_id", "query_text_id", "user_text_id", "candidate_text_id",
+        *[joined_text(F.col(v)).alias(v) for v in FE.VECTOR.values()],
+    )
+
+
 @query("metrics_wide")
 def metrics_wide(spark, sf):
     folder = scratch_path(spark, "metrics")
@@ -619,7 +633,7 @@ def incremental_features(spark, sf):
     """Features from a file stream; the result equals the batch job."""
     folder = scratch_path(spark, "stream")
     rows, store = X.interactions_and_store(spark, sf)
-    tables.write_store(store, f"{folder}/store")
+    bucketed.write_bucketed_store(store, f"{folder}/store")
     rows.repartition(8, "event_id").write.parquet(f"{folder}/in")
     stream = incremental.feature_stream(
         spark, f"{folder}/in", rows.schema, f"{folder}/store", X.DIMS, f"{folder}/out", f"{folder}/progress", files_per_batch=4

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from relvec.functions.probabilities import confidence, top_class
 from relvec.operators.labels import probability_columns
 from relvec.schema import METADATA_COLUMNS, ROLE_TEXT, SPLITS, STORE_SCHEMA, present, require_columns
+from relvec.sources.bucketed import read_bucketed_store, store_buckets
 
 
 def spread(scan: DataFrame, *keys: str) -> DataFrame:
@@ -53,6 +54,9 @@ def write_store(store: DataFrame, folder: str, mode: str = "append") -> None:
 
 
 def read_store(spark: SparkSession, folder: str) -> DataFrame:
+    """A store, plain or bucketed; joins on the text key don't move a bucketed one."""
+    if store_buckets(spark, folder) is not None:
+        return read_bucketed_store(spark, folder)
     return spark.read.schema(STORE_SCHEMA).parquet(folder)
 
 

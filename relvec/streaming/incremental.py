@@ -12,8 +12,9 @@ from pyspark.sql.streaming import StreamingQuery
 from relvec.operators.encode import Encoder, encode_dictionary
 from relvec.operators.features import cosine_features, store_usage
 from relvec.operators.text_dictionary import completion, pending, with_text_keys
-from relvec.schema import require_unique
+from relvec.schema import ROLES, require_unique
 from relvec.session import exists, materialize, scratch_path, shuffle_partitions
+from relvec.sources.bucketed import entries_for
 from relvec.sources.tables import read_store, write_store
 
 
@@ -82,10 +83,12 @@ def feature_stream(
     used = store_usage(store)
 
     def write_batch(rows: DataFrame, number: int) -> None:
-        # The batch is used twice, so it is stored with its keys; its files are read, and its rows counted, once. Only
-        # hashes travel through the lookups.
+        # The batch is stored with its keys; its files are read, and its rows counted, once. Only hashes travel through
+        # the lookups. A bucketed store stays where it is, and a batch with few texts reads only their buckets.
         seen = Observation(f"batch-{number}")
-        features = cosine_features(materialize(with_text_keys(rows), "batch"), store, dims, used=used, once_per_triple=True)
+        batch = materialize(with_text_keys(rows), "batch")
+        needed = entries_for(store, batch, [f"{role}_text_key" for role in ROLES])
+        features = cosine_features(batch, needed, dims, used=used, once_per_triple=True)
         features.observe(seen, F.count(F.lit(1)).alias("rows")).withColumn("_batch", F.lit(number)).write.partitionBy(
             "_batch", "split"
         ).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(target)
