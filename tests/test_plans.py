@@ -1,4 +1,7 @@
+import time
+
 import pytest
+from pyspark import InheritableThread
 from pyspark.sql import functions as F
 
 from relvec import fixtures as X
@@ -90,6 +93,77 @@ def test_grid_records_failures(spark, tmp_path, training_input):
     assert ablation.summarize(manifest, empty).count() == 4
 
 
+def test_grid_goes_on_with_what_is_missing(spark, tmp_path, training_input):
+    rows, store = training_input
+    configs = ablation.grid(["logreg"], [4, 8, 16], ["off"])
+    calls, broken = [], {8}
+
+    def runner(spark, rows, store, config, folder):
+        calls.append((config.dim, spark.sparkContext.getLocalProperty("spark.scheduler.pool")))
+        spark.range(10).count()
+        if config.dim in broken:
+            raise RuntimeError("killed")
+        return {"run_dir": folder, "best": config.dim}
+
+    go = lambda rows, **more: ablation.run_grid(spark, rows, store, configs, str(tmp_path), runner=runner, **more)
+    manifest, _ = go(rows, parallel=3)
+    assert ablation.failed(manifest) == ["logreg_rawdim8_off"]
+    assert sorted(calls) == [(d, f"logreg_rawdim{d}_off") for d in (4, 8, 16)]
+    calls.clear()
+    broken.clear()
+    manifest, found = go(rows, parallel=2, resume=True)
+    assert [d for d, _ in calls] == [8] and ablation.failed(manifest) == []
+    assert [r["best"] for r in found] == [4, 8, 16] and manifest.count() == 3
+    assert spark.sparkContext.getLocalProperty("spark.scheduler.pool") is None
+    calls.clear()
+    go(rows, resume=True)
+    assert calls == []
+    go(rows.where("event_id % 2 = 0"), resume=True)  # other rows: nothing found before holds
+    assert sorted(d for d, _ in calls) == [4, 8, 16]
+    calls.clear()
+    configs[0].settings["max_epochs"] = 3
+    go(rows.where("event_id % 2 = 0"), resume=True)
+    assert [d for d, _ in calls] == [4]
+    with pytest.raises(ValueError, match="share a name"):
+        ablation.run_grid(spark, rows, store, [configs[0], configs[0]], str(tmp_path), runner=runner)
+
+
+def test_failed_run_is_cancelled_whole(spark, tmp_path, training_input):
+    rows, store = training_input
+    configs = ablation.grid(["logreg"], [4, 8], ["off"])
+    ended = {}
+
+    def slow(spark, seconds):
+        def wait(parts):
+            for part in parts:
+                time.sleep(seconds)
+                yield part
+
+        return spark.range(2, numPartitions=1).mapInPandas(wait, "id long").count()
+
+    def runner(spark, rows, store, config, folder):
+        if config.dim == 8:
+            return {"run_dir": folder, "rows": slow(spark, 3)}  # beside the other run, and not touched
+        side = InheritableThread(target=lambda: ended.update(error=_error_of(lambda: slow(spark, 60))))
+        side.start()
+        ended["side"] = side
+        time.sleep(2)
+        raise RuntimeError("broken")
+
+    begun = time.monotonic()
+    manifest, found = ablation.run_grid(spark, rows, store, configs, str(tmp_path), parallel=2, runner=runner)
+    ended["side"].join(30)
+    assert time.monotonic() - begun < 50 and "cancelled" in ended["error"]
+    assert ablation.failed(manifest) == ["logreg_rawdim4_off"] and found[1]["rows"] == 2
+
+
+def _error_of(job):
+    try:
+        return job() and ""
+    except Exception as error:
+        return str(error).lower()
+
+
 def test_grid_summary_is_written_before_failing(spark, tmp_path, training_input):
     rows, store = training_input
     common = {"max_epochs": 1, "steps_per_epoch": 1}
