@@ -13,6 +13,8 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 BASE = np.uint64(0x5851F42D4C957F2D)  # odd, so that powers have inverses modulo 2**64
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+OTHER_BASE = np.uint64(0xD1342543DE82EF95)  # for a second, independent hash
+OTHER_INVERSE = np.uint64(pow(int(OTHER_BASE), -1, 1 << 64))
 WHITE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 
@@ -67,15 +69,15 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)[:n]
 
 
-def prefix_hashes(data: np.ndarray) -> np.ndarray:
-    """Polynomial hash of every prefix: h[i] = sum of (byte j + 1) * BASE**j for j < i, modulo 2**64."""
+def prefix_hashes(data: np.ndarray, base: np.uint64 = BASE) -> np.ndarray:
+    """Polynomial hash of every prefix: h[i] = sum of (byte j + 1) * base**j for j < i, modulo 2**64."""
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(data)), out=out[1:])
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(base, len(data)), out=out[1:])
     return out
 
 
 def span_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, inverse: np.ndarray) -> np.ndarray:
-    """Hash of bytes start..end, equal for equal bytes at any place. inverse: powers of BASE_INVERSE."""
+    """Hash of bytes start..end, equal for equal bytes at any place. inverse: powers of the inverse of the prefixes' base."""
     h = (prefix[end] - prefix[start]) * inverse[start]
     return mix(h ^ ((end - start).astype(np.uint64) * _ODD))
 

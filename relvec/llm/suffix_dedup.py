@@ -3,7 +3,8 @@
 Sparse anchors find where strings may repeat. Of the GRAM-byte hashes inside a string's LENGTH bytes, the smallest is its
 anchor; neighbouring strings mostly share one, and equal strings have equal anchors at equal offsets. The strings of one
 anchor are a cell, so a cell stands for dozens of suffixes. Anchors whose hash occurs once are done with. Cells with
-equal content repeat as a whole, all but the first. What is left are cells that share an anchor but differ further out,
+equal content repeat as a whole, all but the first; their content is told by two hashes of independent bases, 128 bits
+together, beside the anchor's. What is left are cells that share an anchor but differ further out,
 such as those at the ends of a copied passage: their suffixes are sorted, all that have one anchor and offset together,
 by a mergesort whose comparisons find the common extension of two suffixes by binary search over prefix polynomial
 hashes; equal neighbours are verified byte by byte.
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from relvec.llm.common import BASE_INVERSE, mix, pick, powers, prefix_hashes, slices, span_hashes, utf8
+from relvec.llm.common import BASE_INVERSE, OTHER_BASE, OTHER_INVERSE, mix, pick, powers, prefix_hashes, slices, span_hashes, utf8
 from relvec.session import materialize, shuffle_partitions
 
 LENGTH, GRAM = 100, 20
@@ -39,7 +40,7 @@ PART = 4096  # cells of one anchor in a part
 SORTED_AT_ONCE = 8192  # cells whose suffixes are sorted together, and at least one part
 BUCKETS_PER_PARTITION = 4
 _LAST = (1 << 63) - 1
-_LAYOUT = (("id", np.int64), ("tie", np.int64), ("p", np.int32), ("n", np.uint8), ("off", np.uint8), ("known", np.uint8), ("h", np.uint64), ("ch", np.uint64))
+_LAYOUT = (("id", np.int64), ("tie", np.int64), ("p", np.int32), ("n", np.uint8), ("off", np.uint8), ("known", np.uint8), ("h", np.uint64), ("ch", np.uint64), ("cg", np.uint64))
 _WIDTH = sum(np.dtype(k).itemsize for _, k in _LAYOUT)
 ASK, CELL, REPEAT = 0, 1, 2  # kinds of packed rows
 
@@ -64,8 +65,9 @@ def cells_of(data: np.ndarray, at: np.ndarray) -> Cells:
     """Cells of every text: row, first string's start in its text, number of strings, anchor offset, hashes."""
     counts = np.maximum(np.diff(at) - LENGTH + 1, 0)
     if not counts.sum():
-        return {k: np.zeros(0, t) for k, t in (("row", np.int64), ("p", np.int64), ("n", np.int64), ("off", np.int64), ("h", np.uint64), ("ch", np.uint64))}
+        return {k: np.zeros(0, t) for k, t in (("row", np.int64), ("p", np.int64), ("n", np.int64), ("off", np.int64), ("h", np.uint64), ("ch", np.uint64), ("cg", np.uint64))}
     prefix, inverse = prefix_hashes(data), powers(BASE_INVERSE, len(data) + 1)
+    other, other_inverse = prefix_hashes(data, OTHER_BASE), powers(OTHER_INVERSE, len(data) + 1)
     h = mix((prefix[GRAM:] - prefix[:-GRAM]) * inverse[: len(data) - GRAM + 1])
     row = np.repeat(np.arange(len(counts)), counts)
     place = np.arange(len(row)) + np.repeat(at[:-1] - (np.cumsum(counts) - counts), counts)
@@ -78,6 +80,7 @@ def cells_of(data: np.ndarray, at: np.ndarray) -> Cells:
     return {
         "row": row, "p": start - at[row], "n": n, "off": anchor - start, "h": h[anchor],
         "ch": span_hashes(prefix, start, start + n - 1 + LENGTH, inverse),
+        "cg": span_hashes(other, start, start + n - 1 + LENGTH, other_inverse),
     }
 
 
@@ -113,10 +116,10 @@ def _merged(cells: Cells, buckets: int) -> Iterator[tuple[int, int, bytes]]:
     several = np.flatnonzero(shared)
     if len(several):
         c = take(several)
-        order = np.lexsort((c["tie"], c["p"], c["id"], c["ch"], c["h"]))
+        order = np.lexsort((c["tie"], c["p"], c["id"], c["cg"], c["ch"], c["h"]))
         several, c = several[order], {k: v[order] for k, v in c.items()}
         new_h = np.append(True, c["h"][1:] != c["h"][:-1])
-        new = new_h | np.append(True, c["ch"][1:] != c["ch"][:-1])
+        new = new_h | np.append(True, (c["ch"][1:] != c["ch"][:-1]) | (c["cg"][1:] != c["cg"][:-1]))
         leader = np.flatnonzero(new)
         own = leader[np.cumsum(new) - 1]
         same = (c["id"] == c["id"][own]) & (c["p"] == c["p"][own]) & (c["tie"] == c["tie"][own])
@@ -135,7 +138,7 @@ def _merged(cells: Cells, buckets: int) -> Iterator[tuple[int, int, bytes]]:
 
 
 def repeated_cells(docs: DataFrame) -> DataFrame:
-    """(id, tie, p, n, off, h, ch, repeat): cells whose anchor occurs again; `repeat` marks those known to be repeats.
+    """(id, tie, p, n, off, h, ch, cg, repeat): cells whose anchor occurs again; `repeat` marks those known to be repeats.
 
     docs: (id, tie, text).
     """
@@ -172,8 +175,8 @@ def repeated_cells(docs: DataFrame) -> DataFrame:
                 part = {k: v[i : i + 200_000] for k, v in c.items()}
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(part["id"]), pa.array(part["tie"]), *[pa.array(part[k].astype(np.int32)) for k in ("p", "n", "off")],
-                     pa.array(part["h"].view(np.int64)), pa.array(part["ch"].view(np.int64)), pa.array(np.full(len(part["h"]), repeat))],
-                    ["id", "tie", "p", "n", "off", "h", "ch", "repeat"],
+                     pa.array(part["h"].view(np.int64)), *[pa.array(part[k].view(np.int64)) for k in ("ch", "cg")], pa.array(np.full(len(part["h"]), repeat))],
+                    ["id", "tie", "p", "n", "off", "h", "ch", "cg", "repeat"],
                 )
 
         for batch in batches:
@@ -191,7 +194,7 @@ def repeated_cells(docs: DataFrame) -> DataFrame:
         yield from out({k: v[keep] for k, v in c.items()}, False)
 
     packed = docs.mapInArrow(find, "kind int, bucket int, cells binary").repartition(partitions, "bucket")
-    return packed.mapInArrow(resolve, "id long, tie long, p int, n int, off int, h long, ch long, repeat boolean")
+    return packed.mapInArrow(resolve, "id long, tie long, p int, n int, off int, h long, ch long, cg long, repeat boolean")
 
 
 class _Suffixes:
@@ -388,7 +391,7 @@ def repeats(docs: DataFrame, packed: DataFrame) -> DataFrame:
     cells = materialize(repeated_cells(docs), "cells")
     known = cells.where("repeat").select("id", "tie", "p", "n")
     # Equal cells: at most one from each flush of a map task.
-    same = W.partitionBy("h", "ch")
+    same = W.partitionBy("h", "ch", "cg")
     place = F.struct("id", "p", "tie")
     ranked = cells.where("not repeat").withColumn("first", F.min(place).over(same)).withColumn("i", F.row_number().over(same.orderBy("id", "p", "tie")))
     ranked = materialize(ranked.withColumn("repeat", place > F.col("first")).drop("first"), "ranked")

@@ -105,6 +105,26 @@ def test_suffix_dedup_defined_cases(repeated, empty):
     assert suffix_dedup.keep_first(empty).count() == 0
 
 
+@pytest.mark.parametrize("alike", ["ch", "cg"])
+def test_cells_of_one_hash_are_told_apart_by_the_other(alike):
+    passage = bytes(np.random.default_rng(5).integers(97, 123, 300, dtype=np.uint8))
+    texts = [b"a1 " + passage, b"b2 " + passage, passage[:150] + b" other ending " + passage[150:]]
+    cells = suffix_dedup.cells_of(*suffix_dedup.utf8(pa.array([t.decode() for t in texts])))
+    row = cells.pop("row")
+    cells |= {"id": row.astype(np.int64), "tie": np.zeros(len(row), np.int64), "known": np.zeros(len(row), np.uint8)}
+    whole = [texts[i][p : p + n + suffix_dedup.LENGTH - 1] for i, p, n in zip(row, cells["p"], cells["n"])]
+
+    def repeats(c):
+        packed = [blob for kind, _, blob in suffix_dedup._merged(dict(c), 4) if kind == suffix_dedup.REPEAT]
+        found = suffix_dedup._unpacked(packed)
+        return sorted(zip(found["id"].tolist(), found["p"].tolist()))
+
+    expected = sorted((int(i), int(p)) for k, (i, p) in enumerate(zip(row, cells["p"])) if whole[k] in whole[:k])
+    assert len(expected) > 2 and repeats(cells) == expected
+    # All contents collide in one of the hashes: nothing but true repeats is called one.
+    assert repeats(cells | {alike: np.full(len(row), 7, np.uint64)}) == expected
+
+
 def test_sort_suffixes_is_a_sort():
     rng = np.random.default_rng(5)
     data = rng.integers(97, 99, 4000).astype(np.uint8)
