@@ -132,3 +132,20 @@ def test_required_columns_and_unique_keys(spark):
     with pytest.raises(ValueError, match="repeats keys"):
         require_unique(df, ["k"])
     assert require_unique(df, ["k", "v"]) is df
+
+
+def test_packed_vectors_read_back_as_the_same_matrix(spark):
+    import pyarrow as pa
+
+    rows = [[1, -2, 127], None, [-128, 0, 5], [7, 8, 9]]
+    table = column(spark, rows, "tinyint").coalesce(1).select("v", V.packed("v").alias("p")).toArrow()
+    for cut in (slice(0, 4), slice(1, 4), slice(2, 3)):
+        lists, bytes_ = (table[c].combine_chunks()[cut] for c in ("v", "p"))
+        assert pa.types.is_binary(bytes_.type)
+        for dim in (2, 3):
+            assert (V.dense_rows(bytes_, dim) == V.dense_rows(lists, dim)).all()
+            assert V.dense_rows(bytes_, dim, np.int8).dtype == np.int8
+        with pytest.raises(ValueError, match="at least 4"):
+            V.dense_rows(bytes_, 4)
+    with pytest.raises(ValueError, match="one length"):
+        V.dense_rows(pa.array([b"abc", b"a"]), 1)
