@@ -228,3 +228,32 @@ def test_embedding_is_committed_slice_by_slice(spark, tmp_path, small):
     stored = spark.read.parquet(folder)
     assert left == total - kept and stored.count() == stored.select("text_key").distinct().count() == total
     assert incremental.embed_pending(spark, dictionary, folder, lambda: HashEncoder(8), 8) == 0
+
+
+def test_stream_without_texts_writes_none_and_has_the_same_features(spark, tmp_path, small):
+    rows, store = X.interactions_and_store(spark, small)
+    folder = str(tmp_path)
+    tables.write_store(store, f"{folder}/store")
+    rows.coalesce(2).write.parquet(f"{folder}/in")
+    found = {}
+    for texts in (True, False):
+        out = f"{folder}/out_{texts}"
+        incremental.feature_stream(
+            spark, f"{folder}/in", rows.schema, f"{folder}/store", [64], out, f"{folder}/cp_{texts}", 1, texts=texts
+        ).awaitTermination()
+        found[texts] = incremental.read_stream_features(spark, out)
+    names = {"query_text", "user_profile_text", "candidate_text"}
+    assert set(found[True].columns) - set(found[False].columns) == names
+    same = found[False].columns
+    assert sorted(found[True].select(same).collect(), key=str) == sorted(found[False].collect(), key=str)
+
+
+def test_long_texts_are_joined_last_and_not_carried_on(spark, small):
+    from relvec.registry import queries as Q
+
+    keyed, _ = Q._keyed_rows(spark, small)
+    assert not {"query_text", "user_profile_text", "candidate_text"} & set(keyed.columns)
+    assert keyed.count() == X.interactions(spark, small).count()
+    plan = X.interactions(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert "doc_id" in joins[0] and "c_custkey" in joins[1]
