@@ -257,3 +257,24 @@ def test_long_texts_are_joined_last_and_not_carried_on(spark, small):
     plan = X.interactions(spark, small)._jdf.queryExecution().optimizedPlan().toString()
     joins = [line for line in plan.splitlines() if "Join" in line]
     assert "doc_id" in joins[0] and "c_custkey" in joins[1]
+
+
+def test_grid_query_trains_every_length_with_whole_settings(spark, small, monkeypatch):
+    from relvec.models import network
+    from relvec.registry import queries as Q
+
+    asked = []
+
+    def run_grid(spark, rows, store, configs, *more, **named):
+        asked.extend(configs)
+        raise RuntimeError("asked")
+
+    monkeypatch.setattr(ablation, "run_grid", run_grid)
+    with pytest.raises(RuntimeError, match="asked"):
+        Q.ablation_grid(spark, small)
+    assert {(c.model, c.dim, c.imbalance) for c in asked} == {
+        (m, d, i) for m in ("logreg", "mlp") for d in X.DIMS for i in ("off", "balanced-sample-weight")
+    } and len(asked) == 12
+    for config in asked:
+        make = network.logistic_settings if config.model == "logreg" else network.mlp_settings
+        assert make(**config.settings) == make()  # 40 epochs; 1024 and 512 units
