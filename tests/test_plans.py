@@ -1,4 +1,5 @@
 import time
+from pathlib import Path
 
 import pytest
 from pyspark import InheritableThread
@@ -6,10 +7,12 @@ from pyspark.sql import functions as F
 
 from relvec import fixtures as X
 from relvec.functions.scalars import text_key, user_available
+from relvec.models import network
 from relvec.operators.encode import HashEncoder
 from relvec.operators.text_dictionary import attach_text_ids
 from relvec.plans import ablation, feature_build
 from relvec.plans.training import TrainingConfig, prepare, run
+from relvec.session import shared_dir
 from relvec.sources import records, tables
 from relvec.streaming import incremental
 
@@ -259,8 +262,33 @@ def test_long_texts_are_joined_last_and_not_carried_on(spark, small):
     assert "doc_id" in joins[0] and "c_custkey" in joins[1]
 
 
+def test_runs_leave_nothing_but_their_folders(spark, tmp_path, training_input):
+    rows, store = training_input
+    scratch = Path(shared_dir(spark)) / "relvec" / spark.sparkContext.applicationId
+    before = set(scratch.iterdir())
+    seen, evaluate = [], network.evaluate_wide
+
+    def watched(*args, **named):
+        seen.append(len([p for p in scratch.iterdir() if p.name.startswith(("valid_scores", "points", "ranges"))]))
+        return evaluate(*args, **named)
+
+    common = {"max_epochs": 3, "steps_per_epoch": 1}
+    configs = ablation.grid(["logreg"], [4, 8], ["off"], common=common)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(network, "evaluate_wide", watched)
+        manifest, _ = ablation.run_grid(spark, rows, store, configs, str(tmp_path))
+    assert ablation.failed(manifest) == [] and seen == [1] * 6  # the scores of one epoch at a time
+    assert set(scratch.iterdir()) == before
+    folders = [p for p in (tmp_path / "runs").iterdir()]
+    assert len(folders) == 2 and all({c.name for c in f.iterdir()} == {"artifacts", "checkpoints", "predictions"} for f in folders)
+    more = TrainingConfig("logreg", 4, settings={**common, "max_epochs": 4})
+    folder = str(tmp_path / "runs" / "logreg_rawdim4_off")
+    run(spark, rows, store, more, folder, resume=True)  # the batches are dealt again
+    assert spark.read.json(f"{folder}/artifacts/history").count() == 4
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_grid_query_trains_every_length_with_whole_settings(spark, small, monkeypatch):
-    from relvec.models import network
     from relvec.registry import queries as Q
 
     asked = []
