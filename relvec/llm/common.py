@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,7 @@ BASE = np.uint64(0x5851F42D4C957F2D)  # odd, so that powers have inverses modulo
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 OTHER_BASE = np.uint64(0xD1342543DE82EF95)  # for a second, independent hash
 OTHER_INVERSE = np.uint64(pow(int(OTHER_BASE), -1, 1 << 64))
+KEPT_POWERS = 1 << 19
 WHITE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 
@@ -62,8 +64,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+@lru_cache(maxsize=8)
+def _kept_powers(base: int) -> np.ndarray:
+    out = _powers(np.uint64(base), KEPT_POWERS)
+    out.flags.writeable = False
+    return out
+
+
 def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base**0 .. base**(n - 1) modulo 2**64."""
+    """base**0 .. base**(n - 1) modulo 2**64, not to be written to. Those of short texts are made once in a process."""
+    return _kept_powers(int(base))[:n] if n <= KEPT_POWERS else _powers(base, n)
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
     out = np.full(max(n, 1), base, np.uint64)
     out[0] = 1
     return np.multiply.accumulate(out)[:n]

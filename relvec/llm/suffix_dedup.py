@@ -35,6 +35,8 @@ from relvec.session import materialize, shuffle_partitions
 
 LENGTH, GRAM = 100, 20
 WINDOW = LENGTH - GRAM + 1  # hashes that a string's anchor is chosen from
+PLACE_BITS = 16  # of a hash that give way to a place; windows are found in blocks of as many places
+SLICE_BYTES = 500_000  # of text whose cells are found at once
 FLUSH = 1_000_000  # cells that a map task merges at once
 PART = 4096  # cells of one anchor in a part
 SORTED_AT_ONCE = 8192  # cells whose suffixes are sorted together, and at least one part
@@ -48,17 +50,25 @@ Cells = dict[str, np.ndarray]
 
 
 def _anchors(h: np.ndarray) -> np.ndarray:
-    """Place of the leftmost smallest of WINDOW hashes from each place on."""
-    value, place, size = h, np.arange(len(h), dtype=np.int32), 1
+    """Place of the smallest of WINDOW hashes from each place on; of hashes that differ in their last PLACE_BITS only, the leftmost.
 
-    def joined(by: int) -> tuple[np.ndarray, np.ndarray]:
-        right = value[by:] < value[:-by]
-        return np.where(right, value[by:], value[:-by]), np.where(right, place[by:], place[:-by])
-
-    while size * 2 <= WINDOW:
-        value, place = joined(size)
-        size *= 2
-    return joined(WINDOW - size)[1] if WINDOW > size else place
+    A place is kept in the low bits of its hash, so one minimum finds both; blocks are short enough to stay near the processor.
+    """
+    out = np.empty(len(h) - WINDOW + 1, np.int64)
+    low = np.uint64((1 << PLACE_BITS) - 1)
+    step = (1 << PLACE_BITS) - WINDOW + 1
+    place = np.arange(1 << PLACE_BITS, dtype=np.uint64)
+    for begin in range(0, len(out), step):
+        value = h[begin : begin + (1 << PLACE_BITS)] & ~low
+        value |= place[: len(value)]
+        size = 1
+        while size * 2 <= WINDOW:
+            value = np.minimum(value[size:], value[:-size])
+            size *= 2
+        if WINDOW > size:
+            value = np.minimum(value[WINDOW - size :], value[: size - WINDOW])
+        np.add(value & low, np.uint64(begin), out=out[begin : begin + step].view(np.uint64))
+    return out
 
 
 def cells_of(data: np.ndarray, at: np.ndarray) -> Cells:
@@ -156,7 +166,7 @@ def repeated_cells(docs: DataFrame) -> DataFrame:
                     columns = [pa.array(x, t) for x, t in zip(zip(*rows[i : i + 100]), (pa.int32(), pa.int32(), pa.binary()))]
                     yield pa.RecordBatch.from_arrays(columns, ["kind", "bucket", "cells"])
 
-        for batch in slices(batches, most=2_000_000):
+        for batch in slices(batches, most=SLICE_BYTES):
             found = cells_of(*utf8(batch.column("text")))
             row = found.pop("row")
             if len(row):
@@ -210,17 +220,29 @@ class _Suffixes:
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Length of the common extension, at most LENGTH, by binary search."""
+        p = self.prefix
+        (pa_, ia), (pb, ib) = ((p[x], self.inverse[x]) for x in (a, b))
         low, high = np.zeros(len(a), np.int64), np.full(len(a), LENGTH)
         for _ in range(LENGTH.bit_length()):
             middle = (low + high + 1) >> 1
-            same = self.equal(a, b, middle)
+            same = (p[a + middle] - pa_) * ia == (p[b + middle] - pb) * ib
             low, high = np.where(same, middle, low), np.where(same, high, middle - 1)
         return low
 
     def less(self, a: np.ndarray, b: np.ndarray, or_equal: np.ndarray) -> np.ndarray:
-        shared = self.common(a, b)
-        at = np.minimum(shared, LENGTH - 1)
-        return np.where(shared == LENGTH, or_equal, self.data[a + at] < self.data[b + at])
+        out = or_equal.copy()
+        differ = np.flatnonzero(~self.equal(a, b, LENGTH))  # suffixes that are equal as a whole need no search
+        a, b = a[differ], b[differ]
+        at = np.minimum(self.common(a, b), LENGTH - 1)
+        out[differ] = self.data[a + at] < self.data[b + at]
+        return out
+
+    def heads(self, start: np.ndarray) -> np.ndarray:
+        """The first eight bytes of each suffix as a number in their order."""
+        out = np.zeros(len(start), np.uint64)
+        for i in range(8):
+            out = (out << np.uint64(8)) | self.data[start + i]
+        return out
 
     def verified(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         out = np.empty(len(a), bool)
@@ -232,9 +254,12 @@ class _Suffixes:
 
 
 def sort_suffixes(suffixes: _Suffixes, start: np.ndarray, segment: np.ndarray) -> np.ndarray:
-    """Order of the suffixes inside their segments; `segment` is ascending. Bottom-up mergesort of all at once."""
-    order = np.arange(len(start))
-    first = np.flatnonzero(np.append(True, segment[1:] != segment[:-1]))
+    """Order of the suffixes inside their segments; `segment` is ascending. Those that differ in their first eight bytes are ordered
+    by these; the others by a bottom-up mergesort of all at once."""
+    head = suffixes.heads(start)
+    order = np.lexsort((head, segment))
+    head = head[order]
+    first = np.flatnonzero(np.append(True, (segment[1:] != segment[:-1]) | (head[1:] != head[:-1])))
     size = np.diff(np.append(first, len(start)))
     base, limit = np.repeat(first, size), np.repeat(size, size)
     width = 1

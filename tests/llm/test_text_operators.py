@@ -125,6 +125,30 @@ def test_cells_of_one_hash_are_told_apart_by_the_other(alike):
     assert repeats(cells | {alike: np.full(len(row), 7, np.uint64)}) == expected
 
 
+@pytest.mark.parametrize("bits", [8, 16])
+def test_anchors_in_blocks_equal_a_look_at_every_window(monkeypatch, bits):
+    monkeypatch.setattr(suffix_dedup, "PLACE_BITS", bits)
+    rng, window = np.random.default_rng(4), suffix_dedup.WINDOW
+    h = rng.integers(0, 1 << 63, 1000).astype(np.uint64)
+    h[rng.integers(0, 1000, 300)] = h[0] >> np.uint64(20)  # ties go to the left
+    for n in (window, window + 1, 256, 1000):
+        top = (h[:n] >> np.uint64(bits)).tolist()
+        want = [min(range(i, i + window), key=lambda j: (top[j], j)) for i in range(n - window + 1)]
+        assert suffix_dedup._anchors(h[:n]).tolist() == want
+
+
+def test_suffixes_are_searched_only_where_bytes_before_tell_nothing(monkeypatch):
+    rng, asked = np.random.default_rng(2), []
+    data = rng.integers(0, 256, 4000).astype(np.uint8)
+    data[1000:1200] = data[:200]
+    start = np.concatenate([np.arange(0, 100), np.arange(1000, 1100), np.arange(2000, 3900)])
+    common = suffix_dedup._Suffixes.common
+    monkeypatch.setattr(suffix_dedup._Suffixes, "common", lambda self, a, b: asked.append(len(a)) or common(self, a, b))
+    order = suffix_dedup.sort_suffixes(suffix_dedup._Suffixes(data), start, np.zeros(len(start), np.int64))
+    keys = [data[start[i] : start[i] + suffix_dedup.LENGTH].tobytes() for i in order]
+    assert keys == sorted(keys) and sum(asked) == 0  # equal as a whole or different in the first bytes
+
+
 def test_sort_suffixes_is_a_sort():
     rng = np.random.default_rng(5)
     data = rng.integers(97, 99, 4000).astype(np.uint8)
