@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from relvec.llm.common import BASE_INVERSE, OTHER_BASE, OTHER_INVERSE, mix, pick, powers, prefix_hashes, slices, span_hashes, utf8
-from relvec.session import materialize, shuffle_partitions
+from relvec.session import materialize, shuffle_partitions, shuffles_dropped
 
 LENGTH, GRAM = 100, 20
 WINDOW = LENGTH - GRAM + 1  # hashes that a string's anchor is chosen from
@@ -413,6 +413,11 @@ def _opened(packed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def repeats(docs: DataFrame, packed: DataFrame) -> DataFrame:
     """(id, tie, p, n): runs of n strings from p on that also start earlier. docs: (id, tie, text); packed: their bytes."""
+    with shuffles_dropped(docs.sparkSession):
+        return _repeats(docs, packed)
+
+
+def _repeats(docs: DataFrame, packed: DataFrame) -> DataFrame:
     cells = materialize(repeated_cells(docs), "cells")
     known = cells.where("repeat").select("id", "tie", "p", "n")
     # Equal cells: at most one from each flush of a map task.
